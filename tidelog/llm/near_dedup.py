@@ -9,10 +9,12 @@ Every link is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytetext as bt
@@ -99,13 +101,24 @@ def prefix_postings(reps: DataFrame, coordinates: int, matches: int) -> DataFram
     return per.where(room > 0).select("id", F.explode(F.slice("keys", F.lit(1), F.greatest(room, F.lit(1)))["key"]).alias("key"))
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that enough coordinates and then the full sets hold for."""
+def similar(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose set sizes allow the similarity and whose signatures agree in enough coordinates."""
     of = lambda side: reps.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"), F.col("n_shingles").alias(f"n{side}"))
-    counted = pairs.join(of("a"), "a").join(of("b"), "b").where(
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        & (F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= matches)).select("a", "b")
-    both = counted.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(
+    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(
+        _sizes_allow("na", "nb", percent) & (_collisions("sa", "sb") >= matches)).select("a", "b")
+
+
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _collisions(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the full sets hold for."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def run(batches):
@@ -140,6 +153,22 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     return labels
 
 
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return lists.withColumn("label", F.col("id"))
+    return lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _between(now: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs of different components that a list has and whose signatures are similar."""
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    left = now.join(mixed, "key").join(reps.select("id", "signature", "n_shingles"), "id")
+    x, y = left.alias("x"), left.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _sizes_allow("x.n_shingles", "y.n_shingles", percent)
+                  & (_collisions("x.signature", "y.signature") >= matches)).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_dedup(
     docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES,
     pivot_rounds: int = PIVOT_ROUNDS,
@@ -159,29 +188,35 @@ def near_dedup(
     # sets this small have no other set within reach: one more shingle already is too much
     linkable = reps.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1))
     lists = scratch.write(prefix_postings(linkable, coordinates, matches).distinct(), "lists")
-    members = docs.select(F.col("doc_id").alias("id"), "text").join(lists.select("id").distinct(), "id")
-    sets = scratch.write(full_sets(members, shingle), "sets")
     same_id = used.join(reps.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     repeated = reps.select("id").unionByName(same_id.select(F.col("b").alias("id"))).groupBy("id").count().where("count > 1").select("id")
-    links = same_id.join(repeated.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")  # a doc_id with several sets joins them
-    labels = None
-    for k in range(pivot_rounds + 1):
-        now = lists if labels is None else lists.join(labels, "id", "left")
-        now = now.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(k))).alias("pivot")).where("low <> high")
-        if k < pivot_rounds:
-            pairs = now.join(mixed, "key").where("label <> pivot.label").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-        else:
-            left = scratch.write(now.join(mixed.select("key"), "key").join(reps.select("id", "signature", "n_shingles"), "id"), "left")
-            x, y = left.alias("x"), left.alias("y")
-            collisions = F.aggregate(F.zip_with("x.signature", "y.signature", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & (
-                100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")) & (collisions >= matches)).select(
-                F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        found = confirm(pairs.distinct(), reps, sets, matches, percent)
-        if labels is not None:
-            links = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
-        labels = components(links.unionByName(found), scratch, str(k))
+    given = same_id.join(repeated.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")  # a doc_id with several sets joins them
+    # by signatures: pivots first, then what is left between components
+    labels, tested = None, []
+    for k in range(pivot_rounds):
+        now = _labelled(lists, labels)
+        mixed = now.groupBy("key").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(k))).alias("pivot")).where("low <> high")
+        pairs = now.join(mixed, "key").where("label <> pivot.label").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+        tested.append(scratch.write(similar(pairs, reps, matches, percent), f"pivots{k}"))
+        old = [labels.select(F.col("id").alias("a"), F.col("label").alias("b"))] if labels is not None else []
+        labels = components(reduce(DataFrame.unionByName, [*old, tested[-1]]), scratch, f"s{k}")
+    tested.append(scratch.write(_between(_labelled(lists, labels), reps, matches, percent), "between"))
+    tested = scratch.write(reduce(DataFrame.unionByName, tested).distinct(), "tested")
+    # by full sets, of documents that have a similar signature; the table's buckets spare the joins with it a shuffle each
+    ids = scratch.write(tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).distinct(), "ids")
+    name = f"near_dedup_sets_{uuid.uuid4().hex}"
+    members = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
+    full_sets(members, shingle).write.bucketBy(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").option("compression", "zstd").saveAsTable(name)
+    sets = docs.sparkSession.table(name)
+    links = scratch.write(confirm(tested, sets, percent), "links")
+    labels = components(links.unionByName(given), scratch, "f0")
+    more = _between(_labelled(lists.join(ids, "id", "left_semi"), labels), reps, matches, percent).join(tested, ["a", "b"], "left_anti")
+    more = scratch.write(more, "more")
+    if not more.isEmpty():
+        links = links.unionByName(scratch.write(confirm(more, sets, percent), "more_links"))
+        labels = components(links.unionByName(given), scratch, "f1")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     of = used.select("doc_id", "set_key").distinct().join(reps.select("set_key", "id"), "set_key").join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("component_id"))
     return signed.join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),

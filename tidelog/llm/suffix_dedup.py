@@ -24,6 +24,8 @@ THRESHOLD = 50
 PART_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 #: Places that a task gathers before it writes them out.
 GATHER = 1 << 20
+#: Ranks of pairs have 56 bits besides those of their range.
+RANK_MASK = np.uint64(2**56 - 1)
 _CODEC = pa.Codec("zstd", 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -45,13 +47,13 @@ def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _rows(key: np.ndarray, n_keys: int, doc: np.ndarray, *columns: np.ndarray):
-    """(key, payload) for each key, doc ids as differences."""
+    """(key, payload) for each key; doc ids and places (the last column) as differences."""
     order = np.argsort(key.astype(np.uint16) if n_keys < 65536 else key, kind="stable")
     key, cuts = key[order], None
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if key.size else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
-        yield int(key[a]), _packed(np.diff(doc[own], prepend=0), *(c[own] for c in columns))
+        yield int(key[a]), _packed(np.diff(doc[own], prepend=0), *(c[own] for c in columns[:-1]), np.diff(columns[-1][own], prepend=np.int32(0)))
 
 
 def _sliding(h: np.ndarray, size: int, of) -> np.ndarray:
@@ -113,7 +115,8 @@ def repeated_spans(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
 
         def written():
             h, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = list(_rows((h >> shift).astype(np.int64), ranges, doc, (h >> (shift - np.uint64(32))).astype(np.uint32), at))
+            h = bt.mix(h)  # the least of many ranks is small; mixed, they spread over all ranges
+            out = list(_rows((h >> shift).astype(np.int64), ranges, doc, (h >> (shift - np.uint64(24))).astype(np.uint32) & np.uint32(0xFFFFFF), at))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["range", "payload"])
 
         for batch in bt.slices(map(_without_null_ids, batches)):
@@ -135,7 +138,8 @@ def repeated_spans(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
 
     def gathered(table: pa.Table, *kinds: str) -> list[np.ndarray]:
         each = [_unpacked(p.as_py(), "i8", *kinds) for p in table.column("payload")]
-        return [np.concatenate([np.cumsum(e[0]) for e in each]), *(np.concatenate([e[i + 1] for e in each]) for i in range(len(kinds)))]
+        sums = lambda i: np.concatenate([np.cumsum(e[i], dtype=e[i].dtype) for e in each])
+        return [sums(0), *(np.concatenate([e[i + 1] for e in each]) for i in range(len(kinds) - 1)), sums(len(kinds))]
 
     def shared(table: pa.Table) -> pa.Table:
         """Sampled places whose rank two documents have."""
@@ -178,11 +182,14 @@ def repeated_spans(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
                     fits[offsets[i] : offsets[i + 1]] = False
                 seen.add(doc)
             width = threshold - seed + 1
-            starts = np.flatnonzero(fits & (_sliding(common, width, np.minimum) == _sliding(h, width, np.minimum)))
+            least = _sliding(h, width, np.minimum)
+            starts = np.flatnonzero(fits & (_sliding(common, width, np.minimum) == least))
             of = _text_of(starts, offsets)
-            out.append((bt.pair(h[starts], h[starts + (threshold - seed)]), ids[of], (starts - offsets[of]).astype(np.int32)))
-        rank, doc, at = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        made = list(_rows((rank >> shift).astype(np.int64), ranges, doc, rank, at))
+            # dealt out by their least rank: neighbours mostly share it, so their places travel together and cost next to nothing
+            rank = bt.pair(h[starts], h[starts + (threshold - seed)]) & RANK_MASK
+            out.append(((bt.mix(least[starts]) >> shift).astype(np.int64), ids[of], rank, (starts - offsets[of]).astype(np.int32)))
+        key, doc, rank, at = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, k) for k in ("i8", "i8", "u8", "i4"))
+        made = list(_rows(key, ranges, doc, rank, at))
         return pa.table({"range": pa.array([k for k, _ in made], pa.int32()), "payload": pa.array([p for _, p in made], pa.binary())})
 
     def later(table: pa.Table) -> pa.Table:
