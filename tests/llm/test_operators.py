@@ -237,3 +237,17 @@ def test_near_copies(spark, docs, texts, size):
     got = near_dedup.near_dedup(docs, shingle=size).collect()
     assert {tuple(r) for r in got} == {(k, len(s), root(k), root(k) == k) for k, s in sets.items()}
     assert len(got) == docs.count()
+
+
+@pytest.mark.parametrize("n_groups", [3, 10**6])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_groups_join_broadcast_or_salted(spark, n_groups, how):
+    """Both ways of joining a table of groups give the rows of a plain join, with a hot key and keys that only one side has."""
+    from tidelog.llm.common import join_groups
+
+    rows = spark.range(300).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('k', id % 5)) as source")
+    groups = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "source string, weight int")
+    want = sorted(map(tuple, rows.join(groups, "source", how).select("doc_id", "source", "weight").collect()), key=str)
+    got = join_groups(rows, groups, ["source"], n_groups, how=how)
+    assert "salt" not in got.columns
+    assert sorted(map(tuple, got.select("doc_id", "source", "weight").collect()), key=str) == want

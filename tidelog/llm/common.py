@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of groups up to which it is broadcast (some hundred bytes each, so a few MB); salts that spread a hot key beyond that.
+BROADCAST_ROWS, SALTS = 10_000, 64
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,3 +69,15 @@ class Scratch:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same on all-ASCII text, and far faster than translate()."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n_groups: int, *, spread: str = "doc_id", how: str = "inner") -> DataFrame:
+    """Joins rows with groups, a table of n_groups rows at most with one row per key, however many of the rows have the same key.
+
+    Up to BROADCAST_ROWS groups are broadcast. More are repeated under salts, and the column `spread` chooses a row's salt, the same
+    one whenever a lost task runs again.
+    """
+    if n_groups <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), on, how)
+    salted = groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytetext as bt
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, join_groups
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -106,7 +106,7 @@ def _distance() -> Column:
 
 
 def robust_estimates(rows: DataFrame, scratch: Scratch, *, subset: float = SUBSET, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """level, lang, source, mean, inverse: estimates of `rows` (lang, source, v): level 0 of each language and source with at least
+    """level, lang, source, mean, inverse: estimates of `rows` (doc_id, lang, source, v): level 0 of each language and source with at least
     `least` rows, level 1 of each such language (source ''), level 2 of all rows (lang and source '').
 
     Starts from each group's medians and the floors' scale; each concentration step keeps the `subset` share of rows nearest to the
@@ -115,17 +115,18 @@ def robust_estimates(rows: DataFrame, scratch: Scratch, *, subset: float = SUBSE
     d, group = len(DIMS), ["level", "lang", "source"]
     levels = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
         "level", F.when(F.col("level") < 2, F.col("lang")).otherwise("").alias("lang"),
-        F.when(F.col("level") < 1, F.col("source")).otherwise("").alias("source"), "v")
+        F.when(F.col("level") < 1, F.col("source")).otherwise("").alias("source"), "doc_id", "v")
     medians = levels.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_all"), F.array(*[F.percentile_approx(F.col("v")[i], 0.5, 2000) for i in range(d)]).alias("mean"))
     unit = F.array(*[F.lit(1.0 / DIMS[i // d][1] ** 2 if i % (d + 1) == 0 else 0.0) for i in range(d * d)])
     now = scratch.write(
         medians.where((F.col("n_all") >= least) | (F.col("level") == 2)).withColumn("inverse", unit).drop("n_all"), "mcd0")
+    n_groups = now.count()
     scale = 1.0 / subset  # the nearest rows vary less than all of them
     for k in range(1, steps + 1):
-        far = levels.join(now, group).select(*group, "v", _distance().alias("far"))
+        far = join_groups(levels, now, group, n_groups).select(*group, "doc_id", "v", _distance().alias("far"))
         edge = far.groupBy(group).agg(F.percentile_approx("far", subset, 5000).alias("edge"))
-        sums = far.join(edge, group).where("far <= edge").groupBy(group).agg(
+        sums = join_groups(far, edge, group, n_groups).where("far <= edge").groupBy(group).agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(d)]).alias("sums"),
             F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(d) for j in range(d)]).alias("squares"))
         now = scratch.write(sums.mapInPandas(lambda pdfs: (_estimate(p, scale) for p in pdfs), now.schema), f"mcd{k}")
@@ -142,13 +143,15 @@ def judge_quality(docs: DataFrame, *, cutoff: float = CUTOFF, **estimates) -> Da
     scratch = Scratch(docs.sparkSession)
     named = docs.select("doc_id", *(F.coalesce(c, F.lit("<null>")).alias(c) for c in ("lang", "source")), "text")
     stats = scratch.write(text_stats(named), "stats").withColumn("base_failed", base_failed()).withColumn("v", F.array(*vector()))
-    passed = stats.where(~F.col("base_failed")).select("lang", "source", "v")
+    passed = stats.where(~F.col("base_failed")).select("doc_id", "lang", "source", "v")
     found = robust_estimates(passed, scratch, **estimates)
+    n_groups = found.count()
     own = found.where("level = 0").select("lang", "source", F.struct("mean", "inverse").alias("own"))
     by_lang = found.where("level = 1").select("lang", F.struct("mean", "inverse").alias("by_lang"))
     whole = found.where("level = 2").select("mean", "inverse").first()  # one row of 20 numbers
     of_all = F.struct(*(F.array(*map(F.lit, whole[c])).alias(c) for c in ("mean", "inverse"))) if whole else F.lit(None)
-    rows = stats.join(own, ["lang", "source"], "left").join(by_lang, "lang", "left")
+    rows = join_groups(stats, own, ["lang", "source"], n_groups, how="left")
+    rows = join_groups(rows, by_lang, ["lang"], n_groups, how="left")
     chosen = F.coalesce("own", "by_lang", of_all)
     rows = rows.withColumns({"mean": chosen["mean"], "inverse": chosen["inverse"]})
     far = F.when(~F.col("base_failed"), _distance())
