@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidelog.llm.common import Scratch, join_groups
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Production parameters: entropy aimed at (share of the largest possible one), most epochs of any source, words in a block.
 TARGET_ENTROPY, MAX_REPEAT, BLOCK_TOKENS, SEED, STEPS = 0.95, 2.0, 65536, 17, 60
@@ -75,11 +77,13 @@ def mix_sources(docs: DataFrame, *, seed: int = SEED, tokens: Column | None = No
     the source '<null>', a null text has no tokens, repeated rows are shown as often as they occur; other columns are ignored.
     """
     n = tokens if tokens is not None else F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("<null>")).alias("source"), n.alias("n_tokens"))
-    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    scratch = Scratch(docs.sparkSession)
+    # texts are read once; what follows needs only their counts
+    rows = scratch.write(docs.select("doc_id", F.coalesce("source", F.lit("<null>")).alias("source"), n.alias("n_tokens")), "counts")
+    totals = scratch.write(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "totals")
     sources = plan_mixture(totals, **plan)
     dealt = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    rows = rows.join(sources.drop("tokens", "weight", "alpha", "repeats"), "source").withColumn("block", dealt % F.col("n_blocks"))
+    rows = join_groups(rows, sources.drop("tokens", "weight", "alpha", "repeats"), ["source"], totals.count()).withColumn("block", dealt % F.col("n_blocks"))
     blocks = rows.groupBy("source", "block", "whole", "rest").agg(F.sum("n_tokens").alias("tokens"))
     blocks = blocks.withColumn("key", _block_key(F.col("whole") + 1, seed)).withColumn("part", F.substring("key", 1, 2))
     # running sums in two steps, so that no task needs all blocks of a source: within a 256th of the keys, and over the 256 sums
