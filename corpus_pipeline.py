@@ -14,6 +14,7 @@ from tidelog.llm.queries import tokenizer_path
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows whose doc_id is kept. A row without doc_id cannot be matched to a verdict, and goes."""
     return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi")
 
 

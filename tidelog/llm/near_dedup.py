@@ -21,7 +21,7 @@ from tidelog.llm import bytetext as bt
 from tidelog.llm.common import Scratch
 
 #: Coordinates, and collisions that a pair needs before its sets are compared. At a similarity of 0.8 the count is
-#: binomial with mean 25.6; a pair has fewer than 16 once in 20,000.
+#: binomial with mean 25.6; a pair has fewer than 16 three times in 100,000.
 COORDINATES, MATCHES = 32, 16
 SHINGLE, PERCENT = 5, 80
 PIVOT_ROUNDS = 2
