@@ -7,6 +7,7 @@ document begins in them, so that a single document can be decoded without the re
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -26,6 +27,18 @@ FILE = ("shard long, vocabulary int, doc_ids binary, starts binary, n_tokens bin
 _CUT, _UNEASY = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s|^\s|\s\Z")
 
 
+class _Numbered(dict):
+    """Numbers the pieces `first` + key in the order in which they are first asked for; `known` has them."""
+
+    def __init__(self, first: str, known: list[str]):
+        self.first, self.known = first, known
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self.known)
+        self.known.append(self.first + key)
+        return n
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each distinct piece once.
 
@@ -36,24 +49,24 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would only contend with other tasks
         self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        number: dict[str, int] = {}
-        get, flat, counts = number.setdefault, [], []
+        known: list[str] = []
+        plain, spaced = _Numbered("", known), _Numbered(" ", known)
+        flat, counts = [], []
         for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            if _UNEASY.search(text):
-                pieces = _CUT.split(text)
-            else:
-                pieces = text.split(" ")
-                pieces[1:] = [" " + p for p in pieces[1:]]
-            flat += [get(p, len(number)) for p in pieces]
-            counts.append(len(pieces))
-        each = [x.ids for x in self.tokenizer.encode_batch_fast(list(number), add_special_tokens=False)]
+            before = len(flat)
+            if text and _UNEASY.search(text):
+                flat += map(plain.__getitem__, _CUT.split(text))
+            elif text:
+                first, *rest = text.split(" ")
+                flat.append(plain[first])
+                flat += map(spaced.__getitem__, rest)
+            counts.append(len(flat) - before)
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(known, add_special_tokens=False)]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         ids = np.fromiter((i for x in each for i in x), np.uint32, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
