@@ -156,6 +156,24 @@ def test_pieces_have_the_best_score(spark, docs, texts):
     assert sum(sp.get_score(i) for i in got) == pytest.approx(best[-1][0], rel=1e-6)
 
 
+def test_pieces_are_those_of_the_library(spark, docs, texts):
+    import random
+
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp, m, rnd = sentencepiece.SentencePieceProcessor(model_file=path), pieces.encoder(path), random.Random(2)
+    for r in pieces.encode_pieces(docs, path).collect():
+        assert r["ids"] == sp.encode(texts[r["doc_id"]])
+    some = ["The government of the quick brown foxes", "", "aaaa" * 40, "a" * 3001, " x  y\n\n z\t", "\x00", "ünïcode 日本語 text\nline", "😀😀 mixed 123", "▁ ▁▁a", "e\u0301 ﬁ"]
+    some += ["".join(rnd.choice("aeinorst hELdu, .\n😀é_0") for _ in range(rnd.randint(1, 300))) for _ in range(300)]
+    want = [sp.encode(t) for t in some]
+    ids, n = m.encode_many(some)
+    ends = np.cumsum(n)
+    assert [ids[b - k : b].tolist() for b, k in zip(ends, n, strict=True)] == want
+    assert [m.encode(t) for t in some] == want
+
+
 def test_streaming_and_side_by_side_agree():
     m = pieces.model(queries.tokenizer_path("piece_bpe_32k.model"))
     some = ["hello world", "a" * 300, "ünïcode 日本語 text\nline", "x", "", "😀😀 mixed 123", "tab\tand  spaces "]

@@ -1,6 +1,7 @@
-"""SentencePiece encoding and decoding by streaming Viterbi.
+"""SentencePiece encoding and decoding: merges by rank for BPE models, streaming Viterbi for unigram models.
 
-The pieces and scores are a SentencePiece model's; an id sequence has the largest sum of scores. Only a window as wide as the longest piece is open at any time: once all
+The scores of a BPE model are minus the ranks of its merges, so their sum means nothing: within a segment the adjacent pair of the best rank is merged, the
+leftmost first, until none is left (`Merges`). A unigram model's id sequence has the largest sum of scores. Only a window as wide as the longest piece is open at any time: once all
 paths that can still win run through one boundary, the ids before it are committed and forgotten. Boundaries that no piece can cross end
 segments, and a segment seen before takes its ids from a bounded table.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -230,7 +232,114 @@ class StreamingViterbi:
         return text[1:] if text.startswith(" ") else text
 
 
+class Merges(StreamingViterbi):
+    """The ids of a BPE model. A segment's are complete at its end, where they are committed."""
+
+    def _tables(self) -> None:
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        if not self.bytes or any(p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces):
+            raise ValueError("a BPE model needs byte pieces, and no user-defined or unused ones")
+        symbols = sorted({*self.pieces, *(c for p in self.pieces for c in p)})
+        self.symbol = number = {s: k for k, s in enumerate(symbols)}
+        self.id_of = np.array([self.pieces[s][1] if s in self.pieces else -1 for s in symbols], np.int32)
+        self.of_point = np.full(0x110000, -1, np.int64)
+        for s, k in number.items():
+            if len(s) == 1:
+                self.of_point[ord(s)] = k
+        rows = sorted((number[p[:n]] << 32 | number[p[n:]], score, number[p]) for p, (score, _) in self.pieces.items()
+                      for n in range(1, len(p)) if p[:n] in number and p[n:] in number)
+        pairs, scores, merged = zip(*rows, strict=True)
+        self.pairs, self.scores, self.merged = np.array(pairs, np.int64), np.array([*scores, -np.inf]), np.array([*merged, -1], np.int64)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The row of each pair of symbols, the last one for pairs that do not merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
+        return np.where(self.pairs[at] == key, at, self.pairs.size)
+
+    def side_by_side(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of segments, and how many each has. Every round merges one pair in each segment that has any."""
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        of = np.repeat(np.arange(len(segments)), np.fromiter(map(len, segments), np.int64, len(segments)))
+        symbol = self.of_point[points]
+        lacking = np.unique(of[np.where(symbol < 0, -1, self.id_of[symbol]) < 0])  # segments with characters that no piece has
+        own = ~np.isin(of, lacking)
+        symbol, of, done, none = symbol[own], of[own], [], self.pairs.size
+        row = np.full(symbol.size, none)
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        row[inner] = self._pair(symbol[inner], symbol[inner + 1])
+        while symbol.size:
+            score = self.scores[row]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            sizes = np.diff(starts, append=of.size)
+            best = np.repeat(np.maximum.reduceat(score, starts), sizes)
+            live = np.isfinite(best)
+            done.append((of[~live], self.id_of[symbol[~live]]))
+            at = np.flatnonzero(live & (score == best))
+            at = at[np.diff(of[at], prepend=-1) > 0]  # the leftmost of each segment
+            symbol[at] = self.merged[row[at]]
+            row[at] = row[at + 1]
+            live[at + 1] = False
+            place = np.cumsum(live) - 1
+            at, symbol, row, of = place[at], symbol[live], row[live], of[live]
+            for left in (at - 1, at):
+                left = left[(left >= 0) & (left + 1 < of.size)]
+                left = left[of[left] == of[left + 1]]
+                row[left] = self._pair(symbol[left], symbol[left + 1])
+        for j in lacking.tolist():
+            ids = self._merge(segments[j])
+            done.append((np.full(len(ids), j), np.array(ids, np.int32)))
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(segments))
+
+    def _merge(self, text: str) -> list[int]:
+        """The ids of one segment of any length, by a heap of pairs."""
+        pieces, part = self.pieces, list(text)
+        n = len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = lambda i, j: (-pieces[part[i] + part[j]][0], i, part[i], part[j], j)
+        heap = [pair(i, i + 1) for i in range(n - 1) if part[i] + part[i + 1] in pieces]
+        heapify(heap)
+        while heap:
+            _, i, a, b, j = heappop(heap)
+            if part[i] != a or part[j] != b or after[i] != j:
+                continue  # one of the two has been merged since
+            part[i], part[j], after[i] = a + b, "", after[j]
+            k, h = after[i], before[i]
+            if k < n:
+                before[k] = i
+                if part[i] + part[k] in pieces:
+                    heappush(heap, pair(i, k))
+            if h >= 0 and part[h] + part[i] in pieces:
+                heappush(heap, pair(h, i))
+        out: list[int] = []
+        for p in filter(None, part):
+            if p in pieces:
+                out.append(pieces[p][1])
+            else:
+                out.extend(self.bytes[b] for b in p.encode())
+        return out
+
+    def stream(self, text: str):
+        """Lists of ids, one for each segment."""
+        for found in self.segment.finditer(text) if self.segment else [re.compile("(?s).+").match(text)]:
+            yield self._merge(found.group())
+
+
+def encoder(path: str) -> StreamingViterbi:
+    """The encoder that gives the model's own ids."""
+    if path not in _ENCODERS:
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto.FromString(SentencePieceProcessor(model_file=path).serialized_model_proto()).trainer_spec
+        _ENCODERS[path] = Merges(path) if spec.model_type == spec.BPE else model(path)
+    return _ENCODERS[path]
+
+
 _MODELS: dict[str, StreamingViterbi] = {}
+_ENCODERS: dict[str, StreamingViterbi] = {}
 
 
 def model(path: str) -> StreamingViterbi:
@@ -246,7 +355,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        m = model(path)
+        m = encoder(path)
         for batch in bt.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, n = m.encode_many(texts)
