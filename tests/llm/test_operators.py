@@ -257,6 +257,20 @@ def test_near_copies(spark, docs, texts, size):
     assert len(got) == docs.count()
 
 
+def test_long_chains_are_one_component(spark):
+    import random
+
+    from tidelog.llm.common import Scratch
+
+    ids = list(range(1, 1001))
+    random.Random(1).shuffle(ids)
+    tail = [*range(2002, 2102), 2001]
+    links = [*zip(ids, ids[1:]), *zip(tail, tail[1:])]
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark), "t").collect()
+    assert {(r["id"], r["label"]) for r in got} == {(k, 1) for k in ids} | {(k, 2001) for k in tail}
+    assert len(got) == len(ids) + len(tail)
+
+
 @pytest.mark.parametrize("n_groups", [3, 10**6])
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_groups_join_broadcast_or_salted(spark, n_groups, how):
