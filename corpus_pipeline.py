@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document has as many rows as the mixture shows it; every document has one at least."""
-    shown = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("epoch").alias("epochs"))
+    shown = mixing.mix_sources(docs, split=True).groupBy("doc_id").agg(F.max("epoch").alias("epochs"))
     more = shown.where("epochs > 1")  # with nothing to repeat, rows stay as they are
     rows = docs.join(more, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("epochs", F.lit(1)))))
     return rows.select(*docs.columns)

@@ -69,6 +69,22 @@ def test_mixture_meets_its_targets(spark, docs):
     assert entropy(before) < entropy(p) <= math.log(3)
 
 
+def test_small_sources_have_their_partial_epoch(spark):
+    """Of one block each at the production size: tokens are within one document of the plan's, in the pipeline too."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rows = [(k, "w " * (5 + k % 20), None, "big" if k < 3000 else "mid" if k < 3300 else "small") for k in range(3360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    count = F.regexp_count("text", F.lit(mixing.WORD)).cast("long")
+    totals = docs.groupBy("source").agg(F.sum(count).alias("tokens"))
+    plan = {r["source"]: r["whole"] * r["tokens"] + r["rest"] for r in mixing.plan_mixture(totals).collect()}
+    assert plan["small"] > totals.where("source = 'small'").first()["tokens"]
+    for shown in (mixing.mix_sources(docs, split=True), corpus_pipeline.source_mixture(spark, docs, "").withColumn("n_tokens", count)):
+        got = {r["source"]: r["n"] for r in shown.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+        assert all(0 <= plan[s] - got[s] < 24 for s in plan), (plan, got)
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

@@ -69,11 +69,13 @@ def _block_key(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), "source", epoch.cast("string"), F.col("block").cast("string")))
 
 
-def mix_sources(docs: DataFrame, *, seed: int = SEED, tokens: Column | None = None, **plan) -> DataFrame:
+def mix_sources(docs: DataFrame, *, seed: int = SEED, tokens: Column | None = None, split: bool = False, **plan) -> DataFrame:
     """One row for each time a document is shown: doc_id, source, n_tokens, epoch, block, block_key.
 
     A source's documents are dealt into blocks by a hash of doc_id. Every epoch shows the blocks in an order of its own, that of
-    block_key; the last, partial epoch shows blocks in this order as long as they fit into what is left of the budget. A null source is
+    block_key; the last, partial epoch shows blocks in this order as long as they fit into what is left of the budget. With `split`, the first
+    block that does not fit shows its documents, in an order of their own, as long as they do: every source then has its budget but for less than one
+    document. Without, up to a block of it is lost, for a source of one block the whole partial epoch. A null source is
     the source '<null>', a null text has no tokens, repeated rows are shown as often as they occur; other columns are ignored.
     """
     n = tokens if tokens is not None else F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -90,10 +92,16 @@ def mix_sources(docs: DataFrame, *, seed: int = SEED, tokens: Column | None = No
     parts = blocks.groupBy("source", "part").agg(F.sum("tokens").alias("in_part"))
     before = F.coalesce(F.sum("in_part").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("tokens").over(W.partitionBy("source", "part").orderBy("key").rowsBetween(W.unboundedPreceding, 0))
-    fits = (
+    marks = (
         blocks.withColumn("within", within).join(parts.select("source", "part", before.alias("before")), ["source", "part"])
-        .where(F.col("before") + F.col("within") <= F.col("rest")).select("source", "block", F.lit(1).alias("more"))
+        .select("source", "block", (F.col("rest") - F.col("before") - F.col("within") + F.col("tokens")).alias("room"), (F.col("before") + F.col("within") <= F.col("rest")).alias("fits"))
+        .where((F.col("fits") | (F.col("room") > 0)) if split else F.col("fits"))
     )
-    shown = rows.join(fits, ["source", "block"], "left").withColumn(
-        "epoch", F.explode(F.sequence(F.lit(1), F.col("whole") + F.coalesce("more", F.lit(0)))))
+    marked = rows.join(marks, ["source", "block"], "left").withColumn("more", F.coalesce(F.col("fits").cast("int"), F.lit(0)))
+    if split:  # one block of a source at most
+        own = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", (F.col("whole") + 1).cast("string"), F.col("doc_id").cast("string")))
+        upto = F.sum("n_tokens").over(W.partitionBy("source").orderBy(own, "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
+        cut = marked.where("not fits").withColumn("more", (upto <= F.col("room")).cast("int"))
+        marked = marked.where("coalesce(fits, true)").unionByName(cut)
+    shown = marked.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("whole") + F.col("more"))))
     return shown.select("doc_id", "source", "n_tokens", "epoch", "block", _block_key(F.col("epoch"), seed).alias("block_key"))
