@@ -137,6 +137,23 @@ def test_outliers_do_not_hide_themselves(spark):
     assert not any(got[k] for k in range(0, 400, 10)) and all(got[k] for k in range(400) if k % 10)
 
 
+def test_outlier_of_each_dimension(spark):
+    """In a group of plain texts, one far off in one dimension only."""
+    import random
+
+    rnd = random.Random(6)
+    word = lambda a, b: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(a, b)))
+    text = lambda a=3, b=7: "\n".join(" ".join(word(a, b) for _ in range(9)) for _ in range(12))
+    rows = [(k, text(), "en", "web") for k in range(300)]
+    passage = " ".join(word(3, 7) for _ in range(25))
+    rows += [(1000, text(14, 18), "en", "web"), (1001, " ".join(w + "#" for w in text().split()), "en", "web"),
+             (1002, text() + "\nab cd" * 40, "en", "web"), (1003, f"{passage} {passage} {text()}", "en", "web"),
+             (1004, "\n".join([text()] + [c for c in "abcdefghij"] * 9), "en", "web")]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[k]["base_failed"] for k in range(1000, 1005))
+    assert not any(got[k]["kept"] for k in range(1000, 1005)) and sum(got[k]["kept"] for k in range(300)) > 294
+
+
 def test_secrets(spark):
     rows = [(1, "😀 api_key = 'abcdef123' and Token:short1x password: abc"), (2, "AKIA" + "A1B2" * 4 + " AKIA12 " + "0123456789abcdef" * 2), (3, None), (4, "x9Kq2LmZ8vBn4RtY7wPc1D"),
             (5, "123e4567-e89b-12d3-a456-426614174000 1111111111aaaaaaaaaa1111"), (6, "")]

@@ -20,12 +20,12 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: Statistics that the distance is taken over, and the least standard deviation of each: groups in which nearly
-#: all texts agree have variances near 0, under which trifles would look like outliers.
-DIMS = (("chars_per_word", 0.6), ("symbols_per_word", 0.08), ("dup_lines", 0.25), ("repeated_words", 0.25))
-#: Squared distance beyond which a text is rejected: 4 dimensions, 1 in 10^8 normal vectors.
-CUTOFF = 43.0
-#: Share of a group's rows that its estimate rests on, concentration steps, and rows that a group needs for an estimate of its own.
-SUBSET, STEPS, LEAST = 0.75, 4, 100
+#: all texts agree have variances near 0, under which trifles would look like outliers. Each statistic's range is several cutoffs wide.
+DIMS = (("chars_per_word", 0.6), ("symbols_per_word", 0.08), ("dup_lines", 0.08), ("repeated_words", 0.08))
+#: Squared distance beyond which a text is rejected: the 0.999 quantile of chi-square with 4 degrees of freedom.
+CUTOFF = 18.467
+#: Share of a group's rows that its estimate rests on, fall of the log determinant under which it is settled, and rows that a group needs for an estimate of its own.
+SUBSET, SETTLED, LEAST = 0.75, 1e-4, 100
 
 
 def text_stats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -82,16 +82,25 @@ def vector() -> list[Column]:
     ]
 
 
+def _consistency(subset: float) -> float:
+    """What the covariance of the nearest `subset` of normal vectors in 4 dimensions falls short by: subset / P(chi-square of 6 <= the subset's quantile of 4)."""
+    low, high = 0.0, 100.0  # half the quantile
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - np.exp(-mid) * (1 + mid) < subset else (low, mid)
+    return float(subset / (1 - np.exp(-low) * (1 + low + low**2 / 2)))
+
+
 def _estimate(pdf: pd.DataFrame, scale: float) -> pd.DataFrame:
-    """Mean and inverse covariance of each row of sums. The floor on deviations also keeps the matrix invertible."""
+    """Mean, inverse covariance and its log determinant of each row of sums. The floor on deviations also keeps the matrix invertible."""
     d, floor = len(DIMS), np.diag([s**2 for _, s in DIMS])
     out = []
     for row in pdf.itertuples(index=False):
         n, sums, squares = row.n, np.array(row.sums, float), np.array(row.squares, float).reshape(d, d)
         mean = sums / n
         cov = np.maximum(scale, 1.0) * (squares / n - np.outer(mean, mean)) + floor
-        out.append((row.level, row.lang, row.source, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-    return pd.DataFrame(out, columns=["level", "lang", "source", "mean", "inverse"])
+        out.append((row.level, row.lang, row.source, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+    return pd.DataFrame(out, columns=["level", "lang", "source", "mean", "inverse", "logdet"])
 
 
 def _distance() -> Column:
@@ -105,12 +114,13 @@ def _distance() -> Column:
     return total
 
 
-def robust_estimates(rows: DataFrame, scratch: Scratch, *, subset: float = SUBSET, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+def robust_estimates(rows: DataFrame, scratch: Scratch, *, subset: float = SUBSET, least: int = LEAST) -> DataFrame:
     """level, lang, source, mean, inverse: estimates of `rows` (doc_id, lang, source, v): level 0 of each language and source with at least
     `least` rows, level 1 of each such language (source ''), level 2 of all rows (lang and source '').
 
     Starts from each group's medians and the floors' scale; each concentration step keeps the `subset` share of rows nearest to the
-    centre and estimates anew, which never raises the covariance determinant.
+    centre and estimates anew, which never raises the covariance determinant. A group is settled when its determinant falls no more; steps go on
+    until all groups are, over the rows of the others.
     """
     d, group = len(DIMS), ["level", "lang", "source"]
     levels = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
@@ -120,16 +130,20 @@ def robust_estimates(rows: DataFrame, scratch: Scratch, *, subset: float = SUBSE
         F.count(F.lit(1)).alias("n_all"), F.array(*[F.percentile_approx(F.col("v")[i], 0.5, 2000) for i in range(d)]).alias("mean"))
     unit = F.array(*[F.lit(1.0 / DIMS[i // d][1] ** 2 if i % (d + 1) == 0 else 0.0) for i in range(d * d)])
     now = scratch.write(
-        medians.where((F.col("n_all") >= least) | (F.col("level") == 2)).withColumn("inverse", unit).drop("n_all"), "mcd0")
-    n_groups = now.count()
-    scale = 1.0 / subset  # the nearest rows vary less than all of them
-    for k in range(1, steps + 1):
-        far = join_groups(levels, now, group, n_groups).select(*group, "doc_id", "v", _distance().alias("far"))
+        medians.where((F.col("n_all") >= least) | (F.col("level") == 2)).withColumns({"inverse": unit, "logdet": F.lit(np.inf), "moved": F.lit(True)}).drop("n_all"), "mcd0")
+    scale, k = _consistency(subset), 0
+    while n_groups := now.where("moved").count():
+        k += 1
+        far = join_groups(levels, now.where("moved").select(*group, "mean", "inverse"), group, n_groups).select(*group, "doc_id", "v", _distance().alias("far"))
         edge = far.groupBy(group).agg(F.percentile_approx("far", subset, 5000).alias("edge"))
         sums = join_groups(far, edge, group, n_groups).where("far <= edge").groupBy(group).agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(d)]).alias("sums"),
             F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(d) for j in range(d)]).alias("squares"))
-        now = scratch.write(sums.mapInPandas(lambda pdfs: (_estimate(p, scale) for p in pdfs), now.schema), f"mcd{k}")
+        new = sums.mapInPandas(lambda pdfs: (_estimate(p, scale) for p in pdfs), now.drop("moved").schema)
+        new = new.select(*group, F.struct("mean", "inverse", "logdet").alias("new"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - SETTLED, F.lit(False))
+        now = scratch.write(now.join(new, group, "left").select(
+            *group, *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "inverse", "logdet")), falls.alias("moved")), f"mcd{k}")
     return now
 
 
