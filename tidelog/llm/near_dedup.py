@@ -2,15 +2,15 @@
 
 A document's signature has one value per coordinate. Documents are posted under coordinate-value pairs; two whose signatures agree in
 `matches` of K coordinates share a pair among the K - matches + 1 rarest of either one (the prefix), so only these are posted, and pairs that one
-document has are skipped. Lists are then merged in rounds: the members of a list are compared with one pivot of it, lists whose members are
-linked by now are skipped, and in what is left members of different components are compared, after counting their collisions.
-Every link is confirmed on the full shingle sets.
+document has are skipped. Each list compares its members with one pivot, the member whose values are the most common ones: collisions are counted, pairs above
+the match threshold confirmed on full sets. Lists whose members are linked by then are skipped. Documents of the others, those that hang together by common
+values alone, are posted anew under the rarest shingles of their full sets (an exact prefix filter with positions), and these lists are compared with growing
+numbers of pivots until each is skipped or all its pairs are tested. Every link has been confirmed; none is made from all pairs of a list.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,11 @@ from tidelog.llm import bytetext as bt
 from tidelog.llm.common import Scratch
 
 #: Coordinates, and collisions that a pair needs before its sets are compared. At a similarity of 0.8 the count is
-#: binomial with mean 25.6; a pair has fewer than 16 three times in 100,000.
-COORDINATES, MATCHES = 32, 16
+#: binomial with mean 51.2; a pair has fewer than 38 four times in 100,000.
+COORDINATES, MATCHES = 64, 38
 SHINGLE, PERCENT = 5, 80
-PIVOT_ROUNDS = 2
+#: Ids up to which a table of them is broadcast (16 bytes each); pivots of a list in the first round over full sets, and their growth by round.
+BROADCAST_IDS, PIVOTS, MORE_PIVOTS = 1_000_000, 4, 4
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 128, dtype=np.uint64)
@@ -79,33 +80,28 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes, as bytes."""
+    """id, n and the sorted shingle hashes, as bytes, of docs (id, text)."""
 
     def run(batches):
         for batch in bt.slices(batches):
             value, at = _shingle_sets(batch.column("text"), size)
             raw = value.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.int64()), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "hashes"])
+                [batch.column("id").cast(pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                names=["id", "n", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, hashes binary")
 
 
 def prefix_postings(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """key, id: each document under the rarest of its coordinate-value pairs that others have too."""
+    """key, id, n, centre: each document under the rarest of its coordinate-value pairs that others have too. centre is large where many others have its values."""
     posts = reps.select("id", F.posexplode("signature").alias("k", "v")).select(
         "id", (F.col("k").cast("long") * F.lit(2**32) + F.col("v").cast("long")).alias("key"))
     common = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = posts.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # `coordinates` at most
     room = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("keys"))  # pairs of its own fill the prefix first
-    return per.where(room > 0).select("id", F.explode(F.slice("keys", F.lit(1), F.greatest(room, F.lit(1)))["key"]).alias("key"))
-
-
-def similar(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose set sizes allow the similarity and whose signatures agree in enough coordinates."""
-    of = lambda side: reps.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"), F.col("n_shingles").alias(f"n{side}"))
-    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(
-        _sizes_allow("na", "nb", percent) & (_collisions("sa", "sb") >= matches)).select("a", "b")
+    centre = F.aggregate("keys", F.lit(0.0), lambda c, x: c + F.log2(x["df"].cast("double")))
+    return per.where(room > 0).select("id", centre.alias("centre"), F.explode(F.slice("keys", F.lit(1), F.greatest(room, F.lit(1)))["key"]).alias("key")).distinct()
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -116,6 +112,13 @@ def _collisions(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
+def similar(pairs: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose set sizes allow the similarity and whose signatures agree in enough coordinates."""
+    of = lambda side: reps.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"), F.col("n_shingles").alias(f"n{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(
+        _sizes_allow("na", "nb", percent) & (_collisions("sa", "sb") >= matches)).select("a", "b").distinct()
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that the full sets hold for."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(
@@ -162,25 +165,78 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     return labels
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("label", F.col("id"))
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """The labels after links (a, b) more: only the components that they join are labelled anew."""
+    ends = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    moved = components(ends, scratch, tag)
+    ids = labels.unionByName(moved.select("id", F.col("id").alias("label")).join(labels.select("id"), "id", "left_anti"))
+    return ids.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _between(now: DataFrame, reps: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs of different components that a list has and whose signatures are similar."""
-    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = now.join(mixed, "key").join(reps.select("id", "signature", "n_shingles"), "id")
-    x, y = left.alias("x"), left.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _sizes_allow("x.n_shingles", "y.n_shingles", percent)
-                  & (_collisions("x.signature", "y.signature") >= matches)).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+class _Sets:
+    """Full sets of some documents, in tables whose buckets spare the joins with them a shuffle. close() drops them."""
+
+    def __init__(self, docs: DataFrame, shingle: int):
+        self.docs, self.shingle, self.names = docs, shingle, []
+
+    def bucketed(self, df: DataFrame, kind: str) -> DataFrame:
+        spark, name = self.docs.sparkSession, f"near_dedup_{kind}_{uuid.uuid4().hex}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names.append(name)
+        df.repartition(n, "id").write.bucketBy(n, "id").option("compression", "zstd").saveAsTable(name)
+        return spark.table(name)
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        few = ids.count() <= BROADCAST_IDS
+        return self.bucketed(full_sets(self.docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id"), self.shingle), "sets")
+
+    def close(self, spark) -> None:
+        for name in self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def exact_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, most: each document under those of its shingles, rarest first, that a similar one of `most` shingles or fewer may have as their first common one.
+
+    If the shingle at place i (from 0) of a set of n is the first common one, then n - i are common at most, and a partner of more than `most` shingles would need more.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(h.size, batch.column("id")[i].as_py())), pa.array(np.full(h.size, h.size)), pa.array(h)], names=["id", "n", "key"])
+
+    posts = sets.select("id", "hashes").mapInArrow(run, "id long, n long, key long")
+    common = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per = posts.join(common, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # one document's own set
+    placed = per.select("id", "n", F.posexplode("keys").alias("i", "x"), (F.col("n") - F.size("keys")).alias("own"))  # shingles of its own come first
+    most = F.floor(F.expr(f"((n - own - i) * {100 + percent} - n * {percent}) / {percent}")).cast("long")
+    return placed.select(F.col("x.key").alias("key"), "id", "n", most.alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+
+
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings (key, id, n, most, label) of lists with several components, without members that no other one's size suits; and of each list its
+    largest component (big) and how many members the others have (small)."""
+    now = _labelled(lists, labels)
+    per = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n"), F.max("most").alias("top"))
+    live = now.join(per.where("low <> high"), "key").where("most >= least_n and n <= top").select("key", "id", "n", "most", "label")
+    sizes = live.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"))
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("big"), (F.sum("members") - F.max("members")).alias("small")).where("small > 0")
+    return live.join(most, "key")
 
 
 def near_dedup(
-    docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES,
-    pivot_rounds: int = PIVOT_ROUNDS,
+    docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, pivots: int = PIVOTS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -189,44 +245,53 @@ def near_dedup(
     reachable; without words a document is linked with nothing. Rows of the same doc_id count as one document; a null doc_id is linked with nothing and not kept.
     Equal sets meet in one representative before any pair is made. A null text is empty, other columns are ignored, an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
-    signed = scratch.write(signatures(docs, shingle, coordinates), "signatures")
-    used = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = scratch.write(
-        used.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "reps")
-    # sets this small have no other set within reach: one more shingle already is too much
-    linkable = reps.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1))
-    lists = scratch.write(prefix_postings(linkable, coordinates, matches).distinct(), "lists")
-    same_id = used.join(reps.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    repeated = reps.select("id").unionByName(same_id.select(F.col("b").alias("id"))).groupBy("id").count().where("count > 1").select("id")
-    given = same_id.join(repeated.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")  # a doc_id with several sets joins them
-    # by signatures: pivots first, then what is left between components
-    labels, tested = None, []
-    for k in range(pivot_rounds):
-        now = _labelled(lists, labels)
-        mixed = now.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(k))).alias("pivot")).where("low <> high")
-        pairs = now.join(mixed, "key").where("label <> pivot.label").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-        tested.append(scratch.write(similar(pairs, reps, matches, percent), f"pivots{k}"))
-        old = [labels.select(F.col("id").alias("a"), F.col("label").alias("b"))] if labels is not None else []
-        labels = components(reduce(DataFrame.unionByName, [*old, tested[-1]]), scratch, f"s{k}")
-    tested.append(scratch.write(_between(_labelled(lists, labels), reps, matches, percent), "between"))
-    tested = scratch.write(reduce(DataFrame.unionByName, tested).distinct(), "tested")
-    # by full sets, of documents that have a similar signature; the table's buckets spare the joins with it a shuffle each
-    ids = scratch.write(tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).distinct(), "ids")
-    name = f"near_dedup_sets_{uuid.uuid4().hex}"
-    members = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
-    full_sets(members, shingle).write.bucketBy(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").option("compression", "zstd").saveAsTable(name)
-    sets = docs.sparkSession.table(name)
-    links = scratch.write(confirm(tested, sets, percent), "links")
-    labels = components(links.unionByName(given), scratch, "f0")
-    more = _between(_labelled(lists.join(ids, "id", "left_semi"), labels), reps, matches, percent).join(tested, ["a", "b"], "left_anti")
-    more = scratch.write(more, "more")
-    if not more.isEmpty():
-        links = links.unionByName(scratch.write(confirm(more, sets, percent), "more_links"))
-        labels = components(links.unionByName(given), scratch, "f1")
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    of = used.select("doc_id", "set_key").distinct().join(reps.select("set_key", "id"), "set_key").join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("component_id"))
+    spark, scratch, tables = docs.sparkSession, Scratch(docs.sparkSession), _Sets(docs, shingle)
+    try:
+        signed = scratch.write(signatures(docs, shingle, coordinates), "signatures")
+        used = signed.where("n_shingles > 0 and doc_id is not null")
+        grouped = used.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+        reps = tables.bucketed(grouped, "reps")
+        # sets this small have no other set within reach: one more shingle already is too much
+        lists = scratch.write(prefix_postings(reps.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)), coordinates, matches), "lists")
+        same_id = used.join(reps.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        repeated = reps.select("id").unionByName(same_id.select(F.col("b").alias("id"))).groupBy("id").count().where("count > 1").select("id")
+        given = same_id.join(repeated.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")  # a doc_id with several sets joins them
+        # each list's members and its pivot
+        pivot = lists.groupBy("key").agg(F.max_by("id", F.struct("centre", "id")).alias("pivot"))
+        pairs = lists.join(pivot, "key").where("id <> pivot").select(*_ordered("id", "pivot")).distinct()
+        tested = scratch.write(similar(scratch.write(pairs, "pairs"), reps, matches, percent), "similar")
+        sets = tables.of(scratch.write(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
+        links = scratch.write(confirm(tested, sets, percent), "links")
+        labels = components(links.unionByName(given), scratch, "s")
+        # documents of lists that several components are left in, by full sets
+        pending = _labelled(lists.select("key", "id"), labels)
+        rest = pending.join(pending.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high"), "key").select("id").distinct()
+        left = scratch.write(exact_postings(tables.of(scratch.write(rest, "rest")), percent), "left0")
+        sets, k = spark.table(tables.names[-1]), 0
+        tested = scratch.write(tested, "tested0")
+        while True:
+            live = scratch.write(_mixed(left, labels), f"live{k}")
+            if live.isEmpty():
+                break
+            # all members outside the largest component, or about `pivots` of them, and one at least
+            one = live.where("label <> big").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("one"))
+            share = F.ceil(F.col("small") / F.lit(pivots * MORE_PIVOTS**k))
+            chosen = scratch.write(live.where("label <> big").join(one, "key").where((F.col("id") == F.col("one")) | (F.pmod(F.xxhash64("id", F.lit(-k)), share) == 0)).select(
+                "key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pmost"), F.col("label").alias("plabel")), f"chosen{k}")
+            pairs = live.join(chosen, "key").where("label <> plabel and n <= pmost and pn <= most").where(_sizes_allow("n", "pn", percent)).select(*_ordered("id", "p")).distinct()
+            pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
+            more = scratch.write(confirm(pairs, sets, percent), f"more{k}")
+            if not more.isEmpty():
+                labels = scratch.write(merged(labels, more, scratch, f"m{k}"), f"merged{k}")
+            tested = scratch.write(tested.unionByName(pairs), f"tested{k + 1}")
+            left = scratch.write(live.select("key", "id", "n", "most").join(chosen.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti"), f"left{k + 1}")
+            scratch.drop(f"live{k}", f"chosen{k}", f"pairs{k}", f"left{k}", f"tested{k}")
+            k += 1
+        of = used.select("doc_id", "set_key").distinct().join(reps.select("set_key", "id"), "set_key").join(labels, "id", "left")
+        of = scratch.write(of.groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("component_id")), "components")
+        scratch.drop("lists", "pairs", "similar", "ids", "links", "rest")
+    finally:
+        tables.close(spark)
     return signed.join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"))
