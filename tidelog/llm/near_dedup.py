@@ -2,8 +2,8 @@
 
 A document's signature has one value per coordinate. Documents are posted under coordinate-value pairs; two whose signatures agree in
 `matches` of K coordinates share a pair among the K - matches + 1 rarest of either one (the prefix), so only these are posted, and pairs that one
-document has are skipped. Each list compares its members with one pivot, the member whose values are the most common ones: collisions are counted, pairs above
-the match threshold confirmed on full sets. Lists whose members are linked by then are skipped. Documents of the others, those that hang together by common
+document has are skipped. Each list compares its members with a few pivots, among them the member whose values are the most common ones: collisions are counted,
+pairs above the match threshold confirmed on full sets. Lists whose members are linked by then are skipped. Documents of the others, those that hang together by common
 values alone, are posted anew under the rarest shingles of their full sets (an exact prefix filter with positions), and these lists are compared with growing
 numbers of pivots until each is skipped or all its pairs are tested. Every link has been confirmed; none is made from all pairs of a list.
 """
@@ -24,7 +24,7 @@ from tidelog.llm.common import Scratch
 #: binomial with mean 51.2; a pair has fewer than 38 four times in 100,000.
 COORDINATES, MATCHES = 64, 38
 SHINGLE, PERCENT = 5, 80
-#: Ids up to which a table of them is broadcast (16 bytes each); pivots of a list in the first round over full sets, and their growth by round.
+#: Ids up to which a table of them is broadcast (16 bytes each); pivots of a list by signatures and in the first round over full sets, and their growth in later rounds.
 BROADCAST_IDS, PIVOTS, MORE_PIVOTS = 1_000_000, 4, 4
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,15 +256,16 @@ def near_dedup(
         same_id = used.join(reps.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
         repeated = reps.select("id").unionByName(same_id.select(F.col("b").alias("id"))).groupBy("id").count().where("count > 1").select("id")
         given = same_id.join(repeated.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")  # a doc_id with several sets joins them
-        # each list's members and its pivot
-        pivot = lists.groupBy("key").agg(F.max_by("id", F.struct("centre", "id")).alias("pivot"))
-        pairs = lists.join(pivot, "key").where("id <> pivot").select(*_ordered("id", "pivot")).distinct()
+        # each list's members and its pivots: the one of the most common values, and all or about `pivots` of the others
+        per = lists.groupBy("key").agg(F.max_by("id", F.struct("centre", "id")).alias("one"), F.ceil(F.count(F.lit(1)) / F.lit(pivots)).alias("share"))
+        roles = scratch.write(lists.join(per, "key").select("key", "id", ((F.col("id") == F.col("one")) | (F.pmod(F.xxhash64("id"), F.col("share")) == 0)).alias("pivot")), "roles")
+        pairs = roles.select("key", "id").join(roles.where("pivot").select("key", F.col("id").alias("p")), "key").where("id <> p").select(*_ordered("id", "p")).distinct()
         tested = scratch.write(similar(scratch.write(pairs, "pairs"), reps, matches, percent), "similar")
         sets = tables.of(scratch.write(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
         links = scratch.write(confirm(tested, sets, percent), "links")
         labels = components(links.unionByName(given), scratch, "s")
         # documents of lists that several components are left in, by full sets
-        pending = _labelled(lists.select("key", "id"), labels)
+        pending = _labelled(roles.where("not pivot").select("key", "id"), labels)
         rest = pending.join(pending.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high"), "key").select("id").distinct()
         left = scratch.write(exact_postings(tables.of(scratch.write(rest, "rest")), percent), "left0")
         sets, k = spark.table(tables.names[-1]), 0
@@ -289,7 +290,7 @@ def near_dedup(
             k += 1
         of = used.select("doc_id", "set_key").distinct().join(reps.select("set_key", "id"), "set_key").join(labels, "id", "left")
         of = scratch.write(of.groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("component_id")), "components")
-        scratch.drop("lists", "pairs", "similar", "ids", "links", "rest")
+        scratch.drop("lists", "roles", "pairs", "similar", "ids", "links", "rest")
     finally:
         tables.close(spark)
     return signed.join(of, "doc_id", "left").select(
