@@ -1,7 +1,7 @@
 """Secret scans: rule spans, and spans of high sliding-window entropy (DataFrame functions only).
 
 Spark's functions give the texts of all matches but not where they are; splitting the text by the same pattern gives what lies between
-them, and running sums over the lengths of both give every span.
+them, and running sums over the lengths of both give every span. Work grows in proportion to a text and its matches.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import let, running
+
 # The rules' patterns, in the order in which kinds at the same start are listed.
 ASSIGN = (
     r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -27,20 +29,20 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.0003, "mixed": 3.7003}
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"  # in this order spans sort by start, then kind
+
+
 def _spans(kind: str, between: Column, found: Column, keep: Column | None = None) -> Column:
-    """array<struct<start, end, kind, text>> from the pieces between matches and the matches themselves."""
-    if keep is None:
-        keep = F.transform(found, lambda _: F.lit(True))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,text:string>>").alias("out"))
-    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("m"), keep.alias("k"))
+    """The spans (see SPANS) of matches, from the pieces between them and the matches themselves; of those that `keep` (an array beside them) holds for."""
+    lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.char_length(b) + F.char_length(m))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["b"])
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.when(x["k"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(ends: Column, found: Column) -> Column:
+        at = lambda m, k: let(F.get(ends, k), lambda end: F.struct(
+            (end - F.char_length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), m.alias("text")))
+        return F.transform(found, at)
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    every = let(found, lambda m: let(running(lengths, lambda a, b: a + b), lambda ends: spans(ends, m)))
+    return every if keep is None else let(keep, lambda k: F.filter(every, lambda _, i: F.get(k, i)))
 
 
 def rule_spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
@@ -49,7 +51,7 @@ def rule_spans(text: Column, kind: str, pattern: str, group: int = 0, least: int
     found = F.regexp_extract_all(text, p, F.lit(0))
     keep = F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda g: F.char_length(g) >= least) if group else None
     spans = _spans(kind, F.split(text, pattern, -1), found, keep)
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int,text:string>>"))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def _plogp(n: Column) -> Column:
@@ -97,7 +99,7 @@ def entropy_spans(text: Column, window: int = WINDOW, thresholds: dict = THRESHO
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (array of start, end, kind, text) in code points, sorted by start, then by the order of KINDS.
+    """doc_id and spans (array of start, kind, end, text) in code points, sorted by start, then by the order of KINDS.
 
     An entropy span that lies within a rule's span adds nothing and is left out. A null text counts as empty; rows stay as they
     are, repeated ones too; other columns are ignored.
@@ -108,11 +110,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         F.concat(rule_spans(t, "assign", ASSIGN, 1, 6), rule_spans(t, "access", ACCESS), rule_spans(t, "hex", HEX)).alias("rules"),
         entropy_spans(t).alias("entropy"),
     )
-    new = F.filter("entropy", lambda e: ~F.exists("rules", lambda r: (r["start"] <= e["start"]) & (e["end"] <= r["end"])))
-    order = lambda a, b: F.when(
-        F.struct(a["start"], a["kind"]) < F.struct(b["start"], b["kind"]), -1).when(
-        F.struct(a["start"], a["kind"]) > F.struct(b["start"], b["kind"]), 1).otherwise(0)
-    return rules.select("doc_id", F.array_sort(F.concat("rules", new), order).alias("spans"))
+    both = rules.select("doc_id", F.sort_array(F.concat("rules", "entropy")).alias("spans"))
+    # a span lies within a rule's if one that begins no later ends no earlier
+    of_rules = F.transform("spans", lambda x: F.when(x["kind"] < KINDS.index("entropy"), x["end"]).otherwise(F.lit(-1)))
+    new = let(running(of_rules, F.greatest), lambda upto: F.filter("spans", lambda x, k: (x["kind"] < KINDS.index("entropy")) | (F.get(upto, k) < x["end"])))
+    return both.select("doc_id", F.when(F.size("spans") > 0, new).otherwise(F.col("spans")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -1,8 +1,8 @@
 """Token-id files with Re-Pair grammar compression.
 
-Documents go to shards by ranges of doc_id. A shard's ids, with an end id after each document, are compressed by a grammar: frequent pairs of
-neighbouring ids become nonterminals, again and again. A file row holds the rules, each symbol's expansion length, the compressed ids and where each
-document begins in them, so that a single document can be decoded without the rest of its shard.
+Spark deals documents out by ranges of doc_id and sorts each range; a task cuts its documents into shards of some megabytes. A shard's ids, with an end id after
+each document, are compressed by a grammar: frequent pairs of neighbouring ids become nonterminals, again and again. A file row holds the rules, each symbol's expansion
+length, the compressed ids and where each document begins in them, so that a single document can be decoded without the rest of its shard.
 """
 
 from __future__ import annotations
@@ -13,104 +13,141 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidelog.llm import bytetext as bt
 from tidelog.llm.common import Scratch
 
 END_ID = 0
-SHARD_BYTES = 4 << 20
-#: A pair becomes a nonterminal if a shard has it so many times; so many rounds at most, each replacing all such pairs that do not overlap.
-LEAST_PAIRS, ROUNDS = 8, 6
-FILE = ("shard long, vocabulary int, doc_ids binary, starts binary, n_tokens binary, symbols binary, rules binary, lengths binary, total long")
+#: Bytes of text of a shard, and of a range of doc_ids that one task writes.
+SHARD_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+#: A pair becomes a nonterminal if a shard has it so many times: a rule takes 12 bytes, and each use of it saves 4.
+LEAST_PAIRS = 4
+#: Pieces whose ids a task's process remembers; beyond these it begins anew.
+REMEMBERED = 400_000
+FILE = ("part int, shard int, vocabulary int, nulls long, doc_ids binary, starts binary, n_tokens binary, symbols binary, rules binary, lengths binary, total long")
 _CUT, _UNEASY = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s|^\s|\s\Z")
-
-
-class _Numbered(dict):
-    """Numbers the pieces `first` + key in the order in which they are first asked for; `known` has them."""
-
-    def __init__(self, first: str, known: list[str]):
-        self.first, self.known = first, known
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self.known)
-        self.known.append(self.first + key)
-        return n
+_JOINED = 256
 
 
 class PieceEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each distinct piece once.
 
     Pieces end before a space between two characters that are no white space. Byte-level pre-tokenizing always splits there, so the ids of a
-    text are those of its pieces, one after another.
+    text are those of its pieces, one after another, and pieces that begin with such a space can be encoded in one string; the ids' byte lengths tell them apart.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would only contend with other tasks
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        byte_level = set(pre_tokenizers.ByteLevel.alphabet())
+        names = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
+        self.bytes = np.array([len(x) if byte_level.issuperset(x) else len(x.encode()) for x in names], np.int64)  # a byte-level name has a character for each byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces, behind those known."""
+        easy = [" " < p[1:2] and p[0] == " " and not p[-1].isspace() and not p[1].isspace() for p in new]
+        joined, alone = [p for p, e in zip(new, easy, strict=True) if e], [p for p, e in zip(new, easy, strict=True) if not e]
+        groups = [joined[k : k + _JOINED] for k in range(0, len(joined), _JOINED)]
+        each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(["".join(g) for g in groups] + alone, add_special_tokens=False)]
+        sizes = []
+        for group, ids in zip(groups, each, strict=False):
+            upto = np.cumsum(self.bytes[ids])
+            ends = np.cumsum([len(p.encode()) for p in group])
+            at = np.searchsorted(upto, ends)
+            if ids.size and (upto[-1] != ends[-1] or (upto[at] != ends).any()):
+                raise ValueError("the tokenizer's ids do not end where pieces do; it is not byte-level")
+            sizes.append(np.diff(at + 1, prepend=0))
+        sizes.append(np.fromiter(map(len, each[len(groups) :]), np.int64, len(alone)))
+        for p in joined + alone:
+            self.known[p] = len(self.known)
+        self.ids, self.sizes = np.concatenate((self.ids, *each)), np.concatenate((self.sizes, *sizes))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        known: list[str] = []
-        plain, spaced = _Numbered("", known), _Numbered(" ", known)
-        flat, counts = [], []
-        for text in texts:
-            before = len(flat)
-            if text and _UNEASY.search(text):
-                flat += map(plain.__getitem__, _CUT.split(text))
-            elif text:
-                first, *rest = text.split(" ")
-                flat.append(plain[first])
-                flat += map(spaced.__getitem__, rest)
-            counts.append(len(flat) - before)
-        each = [x.ids for x in self.tokenizer.encode_batch_fast(known, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter((i for x in each for i in x), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        order = np.array(flat, np.int64)
-        n = sizes[order] if order.size else np.zeros(0, np.int64)
+        uneasy = np.array([bool(_UNEASY.search(t)) for t in texts], bool)
+        parts = pc.split_pattern(pa.array(["" if u else t for t, u in zip(texts, uneasy, strict=True)], pa.large_string()), " ")
+        counts = np.diff(parts.offsets.to_numpy())
+        words = parts.flatten().dictionary_encode()
+        first = np.zeros(len(words), bool)
+        first[np.cumsum(counts) - counts] = True
+        code = words.indices.to_numpy().astype(np.int64) * 2 + first
+        codes, of = np.unique(code, return_inverse=True)
+        names = words.dictionary.to_pylist()
+        pieces = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in codes.tolist()]
+        cut = {k: _CUT.split(texts[k]) for k in np.flatnonzero(uneasy).tolist()}
+        wanted = {*pieces, *(p for x in cut.values() for p in x)} - {""}
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        self._learn(sorted(wanted - self.known.keys()))
+        known = {**self.known, "": -1} if "" in pieces else self.known
+        numbers = np.array([known[p] for p in pieces], np.int64)[of] if pieces else np.zeros(0, np.int64)
+        if cut:
+            at, runs, ends = 0, [], np.cumsum(counts)
+            for k, x in cut.items():
+                runs += [numbers[at : ends[k] - counts[k]], np.array([self.known[p] for p in x], np.int64)]
+                at, counts[k] = ends[k], len(x)
+            numbers = np.concatenate((*runs, numbers[at:]))
+        n = np.where(numbers >= 0, self.sizes[numbers], 0) if numbers.size else np.zeros(0, np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
         where = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out = ids[where + np.repeat(starts[order], n)] if order.size else np.zeros(0, np.uint32)
+        out = self.ids[where + np.repeat(starts[numbers], n)] if where.size else np.zeros(0, np.uint32)
         per_piece = np.concatenate(([0], np.cumsum(n)))
-        ends = np.cumsum(np.array(counts, np.int64))
-        return out, np.diff(per_piece[np.concatenate(([0], ends))])
+        return out, np.diff(per_piece[np.concatenate(([0], np.cumsum(counts)))])
 
 
-def repair(ids: np.ndarray, starts: np.ndarray, vocabulary: int, *, least: int = LEAST_PAIRS, rounds: int = ROUNDS):
+def repair(ids: np.ndarray, starts: np.ndarray, vocabulary: int, *, least: int = LEAST_PAIRS):
     """symbols, starts in them, rules (left, right of each nonterminal, which are numbered from `vocabulary` on).
 
-    Every round replaces all pairs that occur `least` times or more; where they overlap, the first of a run of places is
-    taken, then every other. No nonterminal crosses the start of a document.
+    Every round counts all pairs and replaces those that occur `least` times or more: where two overlap, the more frequent one is taken, and of equally
+    frequent ones in a row the first, then every other. Rounds go on until none is so frequent. No nonterminal crosses the start of a document.
     """
-    symbols, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
-    n_rules = 0
-    for _ in range(rounds):
-        if symbols.size < 2:
-            break
+    symbols, rules, n_rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0
+    while symbols.size > 1:
         keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         inside = np.ones(symbols.size + 1, bool)
         inside[starts] = False
         places = np.flatnonzero(inside[1:-1])
         ordered = np.sort(keys[places])
         cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-        frequent = ordered[cuts[:-1][np.diff(cuts) >= least]]
+        often = np.diff(cuts)
+        frequent, often = ordered[cuts[:-1][often >= least]], often[often >= least]
         if not frequent.size:
             break
         rank = np.minimum(np.searchsorted(frequent, keys[places]), frequent.size - 1)
         hit = frequent[rank] == keys[places]
         places, rank = places[hit], rank[hit]
-        run = np.cumsum(np.concatenate(([True], np.diff(places) != 1))) - 1
-        first = np.flatnonzero(np.concatenate(([True], np.diff(places) != 1)))
+        # a place gives way to a more frequent pair that it shares a symbol with
+        count, beside = often[rank], np.diff(places) == 1
+        ahead, behind = np.zeros(places.size, bool), np.zeros(places.size, bool)
+        ahead[:-1], behind[1:] = beside & (count[1:] > count[:-1]), beside & (count[:-1] > count[1:])
+        stays = ~(ahead | behind)
+        places, rank = places[stays], rank[stays]
+        run_starts = np.concatenate(([True], np.diff(places) != 1))
+        run, first = np.cumsum(run_starts) - 1, np.flatnonzero(run_starts)
         taken = (np.arange(places.size) - first[run]) % 2 == 0
         places, rank = places[taken], rank[taken]
-        used, rank = np.unique(rank, return_inverse=True)
+        worth = np.bincount(rank, minlength=frequent.size) >= least
+        if not worth.any():
+            break
+        places, rank = places[worth[rank]], (np.cumsum(worth) - 1)[rank[worth[rank]]]
+        pairs = frequent[worth]
         symbols = symbols.copy()
         symbols[places] = (vocabulary + n_rules + rank).astype(np.uint32)
-        rules.append(np.stack((frequent[used] >> np.uint64(32), frequent[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
-        n_rules += used.size
+        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        n_rules += pairs.size
         gone = np.zeros(symbols.size, bool)
         gone[places + 1] = True
         starts = starts - np.concatenate(([0], np.cumsum(gone)))[starts]
@@ -119,15 +156,14 @@ def repair(ids: np.ndarray, starts: np.ndarray, vocabulary: int, *, least: int =
 
 
 def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Expansion length of each nonterminal. A rule only uses symbols with smaller numbers."""
+    """Expansion length of each nonterminal. A rule only uses symbols with smaller numbers, so as many steps as rules are nested settle all."""
     out = np.ones(len(rules), np.int64)
     left, right = rules[:, 0].astype(np.int64) - vocabulary, rules[:, 1].astype(np.int64) - vocabulary
-    for _ in range(64):
+    while True:
         new = np.where(left >= 0, out[np.maximum(left, 0)], 1) + np.where(right >= 0, out[np.maximum(right, 0)], 1)
         if (new == out).all():
-            break
+            return out
         out = new
-    return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -143,42 +179,48 @@ def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarra
         symbols = out
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
-    """Writes one file row per shard (see FILE), documents in ascending doc_id order (null first; rows of equal doc_id by text), to path."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _shards(batches, most: int):
+    """Tables of consecutive documents of about `most` bytes of text; a longer text is in a shard by itself."""
+    held, size = [], 0
+    for batch in bt.slices(batches, most=max(1, most // 4)):
+        n = batch.column("text").nbytes
+        if held and size + n > most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> None:
+    """Writes one file row per shard (see FILE) to path: documents in ascending doc_id order (null first; rows of equal doc_id by a hash of their text, then by text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    # quantiles of doc_id, as literals: range partitioning by Spark would sample, and so read and encode, all texts twice
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards)).first()[0] or [])) if shards > 1 else []
-    shard = F.aggregate(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>"), F.lit(0).cast("long"), lambda n, b: n + (F.col("doc_id") > b).cast("long"))
-    placed = rows.withColumn("shard", F.coalesce(shard, F.lit(0)))
-
-    def one_shard(table: pa.Table) -> pa.Table:
-        encoder = _encoder(tokenizer)
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids_col = table.column("doc_id")
-        nulls = ids_col.null_count
-        if nulls:  # sorting puts them last
-            table = pa.concat_tables([table.slice(len(table) - nulls), table.slice(0, len(table) - nulls)])
-        doc_ids = table.column("doc_id").fill_null(-(2**63)).to_numpy()
-        ids, n = encoder.encode(table.column("text").to_pylist())
-        n = n + 1
-        all_ids = np.full(int(n.sum()), end_id, np.uint32)
-        ends = np.cumsum(n) - 1
-        body = np.ones(all_ids.size, bool)
-        body[ends] = False
-        all_ids[body] = ids
-        vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
-        symbols, starts, rules = repair(all_ids, ends + 1 - n, vocabulary)
-        lengths = lengths_of(rules, vocabulary)
-        raw = lambda x: pa.array([x.tobytes()], pa.binary())
-        return pa.table({
-            "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "vocabulary": pa.array([vocabulary], pa.int32()),
-            "doc_ids": raw(doc_ids), "starts": raw(starts.astype(np.int64)), "n_tokens": raw(n.astype(np.int64)), "symbols": raw(symbols),
-            "rules": raw(rules), "lengths": raw(lengths.astype(np.uint32)), "total": pa.array([all_ids.size], pa.int64())})
-
-    files = placed.groupBy("shard").applyInArrow(one_shard, FILE)
-    files.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+    def run(batches):
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        for number, table in enumerate(_shards(batches, shard_bytes)):
+            nulls = table.column("doc_id").null_count
+            doc_ids = table.column("doc_id").fill_null(0).to_numpy()
+            ids, n = encoder.encode(table.column("text").to_pylist())
+            n = n + 1
+            all_ids = np.full(int(n.sum()), end_id, np.uint32)
+            ends = np.cumsum(n) - 1
+            body = np.ones(all_ids.size, bool)
+            body[ends] = False
+            all_ids[body] = ids
+            vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
+            symbols, starts, rules = repair(all_ids, ends + 1 - n, vocabulary)
+            lengths = lengths_of(rules, vocabulary)
+            raw = lambda x: pa.array([x.tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([vocabulary], pa.int32()), pa.array([nulls], pa.int64()), raw(doc_ids),
+                raw(starts.astype(np.int64)), raw(n.astype(np.int64)), raw(symbols), raw(rules), raw(lengths.astype(np.uint32)), pa.array([all_ids.size], pa.int64())],
+                names=[x.split()[0] for x in FILE.split(", ")])
+
+    ranged = rows.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ranged.select("doc_id", "text").mapInArrow(run, FILE).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -207,6 +249,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 ids = expand(symbols, rules, row["vocabulary"]).astype("<u4")
                 lengths = np.frombuffer(row["lengths"], np.uint32)
                 starts, doc_ids = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["doc_ids"], np.int64)
+                null = np.arange(doc_ids.size) < row["nulls"]  # they come first
                 sizes = np.where(symbols >= row["vocabulary"], lengths[np.maximum(symbols.astype(np.int64) - row["vocabulary"], 0)] if lengths.size else 1, 1)
                 at = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))  # where each symbol's ids begin
                 begin = at[starts]
@@ -215,13 +258,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, row["shard"])), pa.array(doc_ids, mask=doc_ids == -(2**63)), pa.array(begin), pa.array(end - begin), pa.array(crc, pa.int64()),
-                    pa.array(np.diff(np.append(starts, symbols.size)))], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32", "n_symbols"])
-
-    each = files.mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long, n_symbols long")
-    # one row per shard of megabytes: the sums before each
-    before = files.select("shard", F.coalesce(F.sum("total").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return each.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_symbols")
+                    pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["shard"], np.int32)), pa.array(doc_ids, mask=null), pa.array(begin), pa.array(end - begin), pa.array(crc, pa.int64()),
+                    pa.array(np.diff(np.append(starts, symbols.size)))], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32", "n_symbols"])
+
+    each = files.mapInArrow(run, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long, n_symbols long")
+    # ids before each range of doc_ids (a row for each range), and before each shard in its range
+    ranges = files.groupBy("part").agg(F.sum("total").alias("total"))
+    ranges = ranges.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("total").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = files.select("part", "shard", within.alias("within")).join(ranges, "part").select("part", "shard", (F.col("earlier") + F.col("within")).alias("before"))
+    return each.join(before, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_symbols")
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
