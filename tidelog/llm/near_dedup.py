@@ -178,6 +178,11 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def _about(n: int, of: str, seed: int) -> Column:
+    """Holds for about n of the `of` ids of a list, for all if they are n or fewer; lists of like sizes choose the same ids."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**20)) * F.col(of) < F.lit(n * 2**20)
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -257,8 +262,8 @@ def near_dedup(
         repeated = reps.select("id").unionByName(same_id.select(F.col("b").alias("id"))).groupBy("id").count().where("count > 1").select("id")
         given = same_id.join(repeated.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")  # a doc_id with several sets joins them
         # each list's members and its pivots: the one of the most common values, and all or about `pivots` of the others
-        per = lists.groupBy("key").agg(F.max_by("id", F.struct("centre", "id")).alias("one"), F.ceil(F.count(F.lit(1)) / F.lit(pivots)).alias("share"))
-        roles = scratch.write(lists.join(per, "key").select("key", "id", ((F.col("id") == F.col("one")) | (F.pmod(F.xxhash64("id"), F.col("share")) == 0)).alias("pivot")), "roles")
+        per = lists.groupBy("key").agg(F.max_by("id", F.struct("centre", "id")).alias("one"), F.count(F.lit(1)).alias("members"))
+        roles = scratch.write(lists.join(per, "key").select("key", "id", ((F.col("id") == F.col("one")) | _about(pivots, "members", 0)).alias("pivot")), "roles")
         pairs = roles.select("key", "id").join(roles.where("pivot").select("key", F.col("id").alias("p")), "key").where("id <> p").select(*_ordered("id", "p")).distinct()
         tested = scratch.write(similar(scratch.write(pairs, "pairs"), reps, matches, percent), "similar")
         sets = tables.of(scratch.write(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
@@ -276,8 +281,7 @@ def near_dedup(
                 break
             # all members outside the largest component, or about `pivots` of them, and one at least
             one = live.where("label <> big").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("one"))
-            share = F.ceil(F.col("small") / F.lit(pivots * MORE_PIVOTS**k))
-            chosen = scratch.write(live.where("label <> big").join(one, "key").where((F.col("id") == F.col("one")) | (F.pmod(F.xxhash64("id", F.lit(-k)), share) == 0)).select(
+            chosen = scratch.write(live.where("label <> big").join(one, "key").where((F.col("id") == F.col("one")) | _about(pivots * MORE_PIVOTS**k, "small", k)).select(
                 "key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pmost"), F.col("label").alias("plabel")), f"chosen{k}")
             pairs = live.join(chosen, "key").where("label <> plabel and n <= pmost and pn <= most").where(_sizes_allow("n", "pn", percent)).select(*_ordered("id", "p")).distinct()
             pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
