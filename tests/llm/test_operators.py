@@ -55,6 +55,78 @@ def test_licence_sequences(spark):
     assert got == {1: ["Apache-2.0"], 2: ["CC-BY-4.0"], 3: [], 4: ["BSD-2-Clause"], 5: []}
 
 
+# How notices of these licences read.
+NOTICES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n'
+                  "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software is distributed on an AS IS basis.",
+    "MIT": 'MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal '
+           "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+           "persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+           "substantial portions of the Software.",
+    "BSD-2-Clause": "Copyright (c) 2020, Some One\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+                    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+                    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+                    "provided with the distribution.",
+    "ISC": "Copyright (c) 2020 Some One\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+           "permission notice appear in all copies.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+                        "of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 "
+                        "of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+                         "version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+                         "version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + ("\n3. Neither the name of Some Firm, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+                                                     "written permission.").replace(", Inc.", "")
+
+
+@pytest.mark.parametrize("marker", ["", "# ", " * "])
+def test_notices_wrapped_or_not(spark, marker):
+    import textwrap
+
+    wrap = lambda t, width: "\n".join(marker + line for part in t.split("\n") for line in (textwrap.wrap(part, width) or [""]))
+    rows = [(f"{name} {width}", f"{wrap('Before it.', 72)}\n{marker}\n{wrap(text, width)}\n{marker}\nint main() {{}}") for name, text in NOTICES.items() for width in (72, 40, 5000)]
+    rows += [(f"{name} all", text) for name, text in NOTICES.items()]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: [k.split(" ")[0]] for k, _ in rows}
+
+
+def test_long_texts_of_many_matches_take_seconds(spark):
+    import random
+    import time
+
+    rnd = random.Random(1)
+    keys = " ".join(f"{rnd.getrandbits(192):048x}" for _ in range(30_000))
+    df = spark.createDataFrame([(1, keys)], "doc_id long, text string")
+    began = time.time()
+    spans = secrets.scan_secrets(df).first()["spans"]
+    assert time.time() - began < 60 and len(spans) == 30_000 and all(s["end"] - s["start"] == 48 for s in spans) and spans[-1]["end"] == len(keys)
+    df = spark.createDataFrame([(1, (NOTICES["BSD-2-Clause"] + "\n\n") * 3000)], "doc_id long, text string")
+    began = time.time()
+    row = licenses.scan_licenses(df).first()
+    assert time.time() - began < 60 and len(row["sentence_ids"]) == 9000 and row["licenses"] == ["BSD-2-Clause"]
+
+
+def test_other_sentences_bring_their_own_hint(spark):
+    df = spark.createDataFrame([(1, "Nothing here.\nUse it as you like!")], "doc_id long, text string")
+    assert licenses.scan_licenses(df, {"use it as you like": "own.free"}, (("Own", ("own.free",)),)).first()["licenses"] == ["Own"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 64, 65, 4096, 4097, 9000])
+def test_running_sums(spark, n):
+    from itertools import accumulate
+
+    from tidelog.llm.common import running
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([k % 7 for k in range(n)],)], "v array<int>")
+    assert df.select(running(F.col("v"), lambda a, b: a + b)).first()[0] == list(accumulate(k % 7 for k in range(n)))
+
+
 def test_mixture_meets_its_targets(spark, docs):
     shown = mixing.mix_sources(docs, max_repeat=2.0, block_tokens=500).collect()
     assert {r["doc_id"] for r in shown} == {r["doc_id"] for r in docs.collect()}  # nothing is left out
@@ -235,6 +307,29 @@ def test_chat_windows(spark):
     assert chat.digests(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """Random conversations, some with large system turns, equal turn numbers and repeated rows: only a turn that is too large by itself passes the budget."""
+    import random
+
+    rnd, rows = random.Random(8), [(-1, k, "system" if k == 0 else "user" if k % 2 else "assistant", "w " * n) for k, n in enumerate((190, 4, 189, 189, 20))]
+    for conv in range(120):
+        big = rnd.choice((30, 190, 400, 600))
+        for k in range(rnd.randint(1, 25)):
+            role = "system" if k == 0 and conv % 2 else rnd.choice(("user", "assistant"))
+            rows.append((conv, k // 2 if conv % 5 == 0 else k, role, "w " * rnd.randint(0, big)))
+    rows += rows[-3:]
+    windows = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = windows.collect()
+    for r in got:
+        assert r["tokens"] <= chat.BUDGET or (r["n_own"] == 1 and r["formatted"].split("<|end|>")[-2].count("w ") >= chat.BUDGET), r
+    assert len(got) > 400 and any(r["n_context"] for r in got)
+    back = {r["conv_id"]: r for r in chat.digests(windows).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((t for t in rows if t[0] == conv), key=lambda t: (t[1], t[2], t[3]))
+        loss = "".join(t[3] for t in own if t[2] == "assistant")
+        assert back[conv]["n_turns"] == len(own) and (back[conv]["loss_chars"], back[conv]["loss_sha256"]) == (len(loss), sha(loss))
+
+
 @pytest.mark.parametrize("keep", ["max", "min"])
 @pytest.mark.parametrize("collide", [False, True])
 def test_exact_copies(spark, docs, keep, collide):

@@ -36,32 +36,36 @@ def format_chat(
 ) -> DataFrame:
     """One row per window: conv_id, window, n_context, n_own, tokens, formatted, loss (array of start, length in code points).
 
-    Prefix sums of turn tokens (words) place each turn in a slot of half of what the budget leaves; a window is a run of turns in the
-    same slot, and a turn larger than a slot has a window to itself. So only a window with such a turn can pass the budget.
-    Every window after the first begins with the conversation's system turn, if its first turn is one, and with up to
-    history_turns turns before it, as long as they are within history_tokens; these n_context turns are never under the loss. Each assistant turn
-    is under the loss once, in its own window. Turns of equal number are ordered by role and text. A null role or text
+    A first turn of the role system is the conversation's system turn. What the budget leaves beside it and the history is dealt in slots of half of it: prefix sums of
+    the other turns' tokens (words, and one for the turn) place each turn in a slot, a window is a run of turns in the same slot, and a turn larger than a slot has a window to
+    itself (the conversation's first one together with the system turn, if both fit into the budget).
+    Every later window repeats, out of the loss, the system turn if it fits beside the window's own turns, and up to history_turns turns before the
+    window, as long as they are within history_tokens and what the budget then leaves. So a window passes the budget only if it has one own turn that does so alone.
+    Each assistant turn is under the loss once, in its own window. Turns of equal number are ordered by role and text. A null role or text
     counts as empty, a null conv_id is a conversation, a null turn comes first; other columns are ignored.
     """
-    slot = max(1, (budget - history_tokens) // 2)
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + 1)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({
-        "n": F.row_number().over(order), "sum": F.sum("tokens").over(upto), "system": F.first("role").over(upto) == "system"})
-    rows = rows.withColumns({"slot": F.floor((F.col("sum") - 1) / slot), "big": F.col("tokens") > slot})
-    cut = (F.col("slot") != F.lag("slot").over(order)) | F.col("big") | F.lag("big").over(order)
+        "n": F.row_number().over(order), "sum": F.sum("tokens").over(upto),
+        "system": F.when(F.first("role").over(upto) == "system", F.first("tokens").over(upto)).otherwise(F.lit(0))})
+    is_system = (F.col("n") == 1) & (F.col("system") > 0)
+    size = F.greatest(F.lit(1), F.floor((F.lit(budget - history_tokens) - F.col("system")) / 2))
+    rows = rows.withColumns({
+        "slot": F.when(is_system, F.lit(0).cast("long")).otherwise(F.floor((F.col("sum") - F.col("system") - 1) / size)), "big": ~is_system & (F.col("tokens") > size)})
+    with_system = (F.col("n") == 2) & (F.col("system") > 0)
+    cut = F.when(with_system, F.col("system") + F.col("tokens") > budget).otherwise((F.col("slot") != F.lag("slot").over(order)) | F.col("big") | F.lag("big").over(order))
     rows = rows.withColumn("window", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(upto))
-    # history: a turn is repeated in the next window if few turns and tokens lie between it and that window
+    # a turn is history of the next window if few turns and tokens lie between it and that window
     rest = W.partitionBy("conv_id", "window").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)
     last = F.max("window").over(W.partitionBy("conv_id"))
     rows = rows.withColumns({
         "back": F.row_number().over(W.partitionBy("conv_id", "window").orderBy(F.desc("n"))),
         "tail": F.sum("tokens").over(rest), "last": last})
     repeated = (F.col("back") <= history_turns) & (F.col("tail") <= history_tokens) & (F.col("window") < F.col("last"))
-    is_system = F.col("system") & (F.col("n") == 1)
     places = F.array_compact(F.array(
         F.struct("window", F.lit(2).alias("part")),
         F.when(repeated & ~is_system, F.struct((F.col("window") + 1).alias("window"), F.lit(1).alias("part")))))
@@ -69,10 +73,14 @@ def format_chat(
         F.sequence(F.lit(1).cast("long"), F.col("last")), lambda w: F.struct(w.alias("window"), F.lit(0).alias("part"))))
     head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>"))
     placed = rows.select(
-        "conv_id", "n", "tokens", "role", head.alias("head"), escape(F.col("text")).alias("body"),
+        "conv_id", "n", "tokens", "tail", "role", head.alias("head"), escape(F.col("text")).alias("body"),
         F.explode(F.concat(places, F.coalesce(system, F.array().cast("array<struct<window:bigint,part:int>>")))).alias("at"))
     items = placed.groupBy("conv_id", F.col("at.window").alias("window")).agg(
-        F.array_sort(F.collect_list(F.struct("at.part", "n", "role", "head", "body", "tokens"))).alias("items"))  # within the budget
+        F.array_sort(F.collect_list(F.struct("at.part", "n", "role", "head", "body", "tokens", "tail"))).alias("items"))  # the budget bounds them
+    total = lambda part: F.aggregate(F.filter("items", lambda x: x["part"] == part), F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    items = items.withColumn("room", F.lit(budget) - total(2))
+    items = items.withColumn("room_after", F.col("room") - F.when(total(0) <= F.col("room"), total(0)).otherwise(F.lit(0)))
+    items = items.withColumn("items", F.filter("items", lambda x: (x["part"] == 2) | ((x["part"] == 0) & (x["tokens"] <= F.col("room"))) | ((x["part"] == 1) & (x["tail"] <= F.col("room_after")))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
 
     def step(acc: Column, x: Column) -> Column:

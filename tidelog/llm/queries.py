@@ -84,7 +84,12 @@ def _q(s: str) -> str:
 
 def _licenses_sql() -> str:
     known = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in licenses.SENTENCES.items()) + "}"
-    hint = licenses.HINT.removeprefix("(?i)")
+    norm = lambda x: f"regexp_replace(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), {_q(licenses.HOLDER)}, {_q(licenses.HOLDER_KNOWN)})"
+    of = lambda x: f"{known}[{norm(x)}]"
+    first, second = r"regexp_replace(s, '^[^\n]*\n', '')", r"regexp_replace(s, '^[^\n]*\n[^\n]*\n', '')"
+    sentence = f"coalesce({of('s')}, {of(first)}, {of(second)})"
+    clauses = f"list_filter(list_transform(string_split_regex(s, {_q(licenses.CLAUSE)}), lambda c: {of('c')}), lambda x: x IS NOT NULL)"
+    hint = "|".join(licenses.hint_words(licenses.SENTENCES))
     steps = "SELECT *, ' ' || array_to_string(sentence_ids, ' ') || ' ' AS seq, CAST([] AS VARCHAR[]) AS lic0, CAST([] AS VARCHAR[]) AS used0 FROM ids"
     for i, (name, parts) in enumerate(licenses.RULES, 1):
         pattern = " " + "(?:.* )?".join(p.replace(".", r"\.") + " " for p in parts)
@@ -94,9 +99,9 @@ def _licenses_sql() -> str:
             f"CASE WHEN hit{i} THEN list_concat(used{i - 1}, {own}) ELSE used{i - 1} END AS used{i} "
             f"FROM (SELECT *, regexp_matches(seq, {_q(pattern)}) AND NOT list_has_all(used{i - 1}, {own}) AS hit{i} FROM ({steps}))")
     return rf"""
-    WITH ids AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?i){hint}') THEN
-        list_filter(list_transform(string_split_regex(text, '\n|[.!?;:]+([\x20\x09-\x0D]|$)'),
-            lambda s: {known}[trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))]), lambda x: x IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS sentence_ids FROM documents)
+    WITH ids AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{hint}') THEN
+        flatten(list_transform(string_split_regex(regexp_replace(text, {_q(licenses.VERSION)}, '\1 \2', 'g'), {_q(licenses.BREAK)}),
+            lambda s: CASE WHEN {sentence} IS NOT NULL THEN [{sentence}] ELSE {clauses} END)) ELSE CAST([] AS VARCHAR[]) END AS sentence_ids FROM documents)
     SELECT doc_id, sentence_ids, lic{len(licenses.RULES)} AS licenses FROM ({steps})"""
 
 
@@ -155,20 +160,25 @@ def _mixing_sql() -> str:
 
 def _chat_sql() -> str:
     c = chat
-    slot = max(1, (c.BUDGET - c.HISTORY_TOKENS) // 2)
     grown = lambda x: f"length({x}) + " + " + ".join(f"(length({x}) - length(replace({x}, {_q(e)}, '')))" for e, _ in c.ESCAPES)
     order = "PARTITION BY conv_id ORDER BY turn, role, text"
     return f"""
     WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
     b AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 1 AS tokens FROM a),
-    c AS (SELECT *, row_number() OVER ({order}) AS n, sum(tokens) OVER ({order} ROWS UNBOUNDED PRECEDING) AS upto FROM b),
-    d AS (SELECT *, n = 1 AND role = 'system' AS is_system, floor((upto - 1) / {slot}) AS slot, tokens > {slot} AS big FROM c),
-    e AS (SELECT *, coalesce(slot <> lag(slot) OVER (PARTITION BY conv_id ORDER BY n) OR big OR lag(big) OVER (PARTITION BY conv_id ORDER BY n), false) AS cut FROM d),
-    f AS (SELECT *, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS win FROM e),
-    g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY n DESC) AS back, sum(tokens) OVER (PARTITION BY conv_id, win ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS tail,
-        max(win) OVER (PARTITION BY conv_id) AS last FROM f),
-    h AS (SELECT *, {grown('role')} + {grown('text')} + {4 + len(c.END)} AS chars, 1 + CASE WHEN is_system THEN last WHEN back <= {c.HISTORY_TURNS} AND tail <= {c.HISTORY_TOKENS} AND win < last THEN 1 ELSE 0 END AS times FROM g)
+    c AS (SELECT *, row_number() OVER ({order}) AS n, sum(tokens) OVER ({order} ROWS UNBOUNDED PRECEDING) AS upto,
+        CASE WHEN first_value(role) OVER ({order}) = 'system' THEN first_value(tokens) OVER ({order}) ELSE 0 END AS sys FROM b),
+    d AS (SELECT *, n = 1 AND sys > 0 AS is_system, greatest(1, floor(({c.BUDGET - c.HISTORY_TOKENS} - sys) / 2)) AS room FROM c),
+    e AS (SELECT *, CASE WHEN is_system THEN 0 ELSE floor((upto - sys - 1) / room) END AS slot, NOT is_system AND tokens > room AS big FROM d),
+    f AS (SELECT *, CASE WHEN n = 2 AND sys > 0 THEN sys + tokens > {c.BUDGET} ELSE coalesce(slot <> lag(slot) OVER w OR big OR lag(big) OVER w, false) END AS cut FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+    g AS (SELECT *, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS win FROM f),
+    own AS (SELECT conv_id, win, sum(tokens) AS own FROM g GROUP BY ALL),
+    later AS (SELECT o.conv_id, o.win, o.own, s.sys <= {c.BUDGET} - o.own AS fits, count_if(s.sys <= {c.BUDGET} - o.own AND o.win > 0) OVER (PARTITION BY o.conv_id) AS n_fit,
+        {c.BUDGET} - o.own - CASE WHEN s.sys <= {c.BUDGET} - o.own THEN s.sys ELSE 0 END AS left_over FROM own o JOIN (SELECT conv_id, max(sys) AS sys FROM g GROUP BY 1) s ON o.conv_id IS NOT DISTINCT FROM s.conv_id),
+    i AS (SELECT g.*, row_number() OVER (PARTITION BY g.conv_id, g.win ORDER BY n DESC) AS back, sum(tokens) OVER (PARTITION BY g.conv_id, g.win ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS tail,
+        t.n_fit, x.left_over FROM g JOIN later t ON g.conv_id IS NOT DISTINCT FROM t.conv_id AND g.win = t.win LEFT JOIN later x ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.win + 1 = x.win),
+    h AS (SELECT *, {grown('role')} + {grown('text')} + {4 + len(c.END)} AS chars, 1 + CASE WHEN is_system THEN n_fit
+        WHEN back <= {c.HISTORY_TURNS} AND tail <= {c.HISTORY_TOKENS} AND left_over IS NOT NULL AND tail <= left_over THEN 1 ELSE 0 END AS times FROM i)
     SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars * times) AS BIGINT) AS formatted_chars
