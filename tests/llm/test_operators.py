@@ -175,7 +175,7 @@ def test_grammar_compresses_and_gives_single_documents():
     ids = np.array(([5, 6, 7, 8] * 50 + [0]) * 4 + [1, 2, 3, 0], np.uint32)
     starts = np.array([0, 201, 402, 603, 804])
     symbols, at, rules = token_files.repair(ids, starts, 10)
-    row = {"symbols": symbols.tobytes(), "rules": rules.tobytes(), "starts": at.astype(np.int64).tobytes(), "vocabulary": 10}
+    row = {"symbols": symbols.tobytes(), "rules": rules.tobytes(), "starts": at.astype(np.int64).tobytes(), "lengths": token_files.lengths_of(rules, 10).astype(np.uint32).tobytes(), "vocabulary": 10}
     assert symbols.size < ids.size / 8
     for k, (a, b) in enumerate(zip(starts, [*starts[1:], ids.size], strict=True)):
         assert (token_files.read_document(row, k) == ids[a:b]).all()

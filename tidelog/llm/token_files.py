@@ -30,8 +30,12 @@ LEAST_PAIRS = 4
 #: Pieces whose ids a task's process remembers; beyond these it begins anew.
 REMEMBERED = 400_000
 FILE = ("part int, shard int, vocabulary int, nulls long, doc_ids binary, starts binary, n_tokens binary, symbols binary, rules binary, lengths binary, total long")
-_CUT, _UNEASY = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s|^\s|\s\Z")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space at an end or beside another white space: such texts are cut with care.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEASY = rf"\A | \z| {_WHITE}|{_WHITE} "
 _JOINED = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceEncoder:
@@ -53,12 +57,12 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Ids of pieces, behind those known."""
-        easy = [" " < p[1:2] and p[0] == " " and not p[-1].isspace() and not p[1].isspace() for p in new]
+        easy = [p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in new]
         joined, alone = [p for p, e in zip(new, easy, strict=True) if e], [p for p, e in zip(new, easy, strict=True) if not e]
         groups = [joined[k : k + _JOINED] for k in range(0, len(joined), _JOINED)]
         each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(["".join(g) for g in groups] + alone, add_special_tokens=False)]
@@ -67,41 +71,42 @@ class PieceEncoder:
             upto = np.cumsum(self.bytes[ids])
             ends = np.cumsum([len(p.encode()) for p in group])
             at = np.searchsorted(upto, ends)
-            if ids.size and (upto[-1] != ends[-1] or (upto[at] != ends).any()):
+            if upto[-1] != ends[-1] or (upto[at] != ends).any():
                 raise ValueError("the tokenizer's ids do not end where pieces do; it is not byte-level")
             sizes.append(np.diff(at + 1, prepend=0))
         sizes.append(np.fromiter(map(len, each[len(groups) :]), np.int64, len(alone)))
-        for p in joined + alone:
-            self.known[p] = len(self.known)
+        self.known = pa.concat_arrays([self.known, pa.array(joined + alone, pa.large_string())])
         self.ids, self.sizes = np.concatenate((self.ids, *each)), np.concatenate((self.sizes, *sizes))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        uneasy = np.array([bool(_UNEASY.search(t)) for t in texts], bool)
-        parts = pc.split_pattern(pa.array(["" if u else t for t, u in zip(texts, uneasy, strict=True)], pa.large_string()), " ")
+        column = column.cast(pa.large_string())
+        uneasy = pc.match_substring_regex(column, _UNEASY)
+        parts = pc.split_pattern(pc.if_else(uneasy, pa.scalar("", pa.large_string()), column), " ")
         counts = np.diff(parts.offsets.to_numpy())
         words = parts.flatten().dictionary_encode()
         first = np.zeros(len(words), bool)
         first[np.cumsum(counts) - counts] = True
-        code = words.indices.to_numpy().astype(np.int64) * 2 + first
-        codes, of = np.unique(code, return_inverse=True)
-        names = words.dictionary.to_pylist()
-        pieces = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in codes.tolist()]
-        cut = {k: _CUT.split(texts[k]) for k in np.flatnonzero(uneasy).tolist()}
-        wanted = {*pieces, *(p for x in cut.values() for p in x)} - {""}
+        codes, of = np.unique(words.indices.to_numpy().astype(np.int64) * 2 + first, return_inverse=True)
+        names = words.dictionary.take(pa.array(codes >> 1))
+        pieces = pc.if_else(pa.array(codes % 2 == 1), names, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), names, pa.scalar(" ", pa.large_string())))
+        cut = {k: _CUT.split(column[k].as_py()) for k in np.flatnonzero(uneasy.to_numpy(zero_copy_only=False)).tolist()}
+        more = pa.array(sorted({p for x in cut.values() for p in x}), pa.large_string())
         if len(self.known) > REMEMBERED:
             self._forget()
-        self._learn(sorted(wanted - self.known.keys()))
-        known = {**self.known, "": -1} if "" in pieces else self.known
-        numbers = np.array([known[p] for p in pieces], np.int64)[of] if pieces else np.zeros(0, np.int64)
+        wanted = pa.concat_arrays([pieces, more])
+        at = pc.index_in(wanted, value_set=self.known)
+        self._learn([p for p in pc.unique(wanted.filter(at.is_null())).to_pylist() if p])
+        at = pc.index_in(wanted, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)  # -1: the empty piece
+        numbers = at[: len(pieces)][of]
         if cut:
-            at, runs, ends = 0, [], np.cumsum(counts)
+            place, here, runs, ends = dict(zip(more.to_pylist(), at[len(pieces) :].tolist(), strict=True)), 0, [], np.cumsum(counts)
             for k, x in cut.items():
-                runs += [numbers[at : ends[k] - counts[k]], np.array([self.known[p] for p in x], np.int64)]
-                at, counts[k] = ends[k], len(x)
-            numbers = np.concatenate((*runs, numbers[at:]))
-        n = np.where(numbers >= 0, self.sizes[numbers], 0) if numbers.size else np.zeros(0, np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
+                runs += [numbers[here : ends[k] - counts[k]], np.array([place[p] for p in x], np.int64)]
+                here, counts[k] = ends[k], len(x)
+            numbers = np.concatenate((*runs, numbers[here:]))
+        starts, sizes = np.append(np.cumsum(self.sizes) - self.sizes, 0), np.append(self.sizes, 0)  # -1 is the last
+        n = sizes[numbers]
         where = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         out = self.ids[where + np.repeat(starts[numbers], n)] if where.size else np.zeros(0, np.uint32)
         per_piece = np.concatenate(([0], np.cumsum(n)))
@@ -120,15 +125,21 @@ def repair(ids: np.ndarray, starts: np.ndarray, vocabulary: int, *, least: int =
         inside = np.ones(symbols.size + 1, bool)
         inside[starts] = False
         places = np.flatnonzero(inside[1:-1])
-        ordered = np.sort(keys[places])
+        # pairs whose hash is rare are rare; only the others are sorted
+        keys = keys[places]
+        bucket = (keys * _SPREAD >> np.uint64(44)).astype(np.int32)
+        often = np.bincount(bucket)[bucket] >= least
+        places, keys = places[often], keys[often]
+        order = np.argsort(keys)
+        ordered = keys[order]
         cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         often = np.diff(cuts)
+        rank = np.empty(keys.size, np.int64)
+        rank[order] = np.repeat(np.where(often >= least, np.cumsum(often >= least) - 1, -1), often)
         frequent, often = ordered[cuts[:-1][often >= least]], often[often >= least]
         if not frequent.size:
             break
-        rank = np.minimum(np.searchsorted(frequent, keys[places]), frequent.size - 1)
-        hit = frequent[rank] == keys[places]
-        places, rank = places[hit], rank[hit]
+        places, rank = places[rank >= 0], rank[rank >= 0]
         # a place gives way to a more frequent pair that it shares a symbol with
         count, beside = often[rank], np.diff(places) == 1
         ahead, behind = np.zeros(places.size, bool), np.zeros(places.size, bool)
@@ -166,17 +177,17 @@ def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
         out = new
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids that symbols stand for; works on any slice of a shard's symbols."""
-    while True:
-        big = symbols >= vocabulary
-        if not big.any():
-            return symbols
-        at = np.arange(symbols.size) + np.cumsum(big) - big
-        out = np.empty(symbols.size + int(big.sum()), np.uint32)
-        rule = rules[symbols[big] - vocabulary]
-        out[at[~big]], out[at[big]], out[at[big] + 1] = symbols[~big], rule[:, 0], rule[:, 1]
-        symbols = out
+def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int, lengths: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for; works on any slice of a shard's symbols. lengths: of the rules' expansions."""
+    sizes = lambda x: np.where(x >= vocabulary, lengths[np.maximum(x.astype(np.int64) - vocabulary, 0)], 1) if lengths.size else np.ones(x.size, np.int64)
+    n = sizes(symbols).astype(np.int64)
+    at, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.uint32)
+    while symbols.size:
+        plain = symbols < vocabulary
+        out[at[plain]] = symbols[plain]
+        rule, at = rules[symbols[~plain] - vocabulary], at[~plain]
+        symbols, at = np.concatenate((rule[:, 0], rule[:, 1])), np.concatenate((at, at + sizes(rule[:, 0])))
+    return out
 
 
 def _shards(batches, most: int):
@@ -203,7 +214,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
         for number, table in enumerate(_shards(batches, shard_bytes)):
             nulls = table.column("doc_id").null_count
             doc_ids = table.column("doc_id").fill_null(0).to_numpy()
-            ids, n = encoder.encode(table.column("text").to_pylist())
+            ids, n = encoder.encode(table.column("text").combine_chunks())
             n = n + 1
             all_ids = np.full(int(n.sum()), end_id, np.uint32)
             ends = np.cumsum(n) - 1
@@ -237,7 +248,7 @@ def read_document(row: dict, number: int) -> np.ndarray:
     starts = np.frombuffer(row["starts"], np.int64)
     symbols, rules = np.frombuffer(row["symbols"], np.uint32), np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
     end = starts[number + 1] if number + 1 < starts.size else symbols.size
-    return expand(symbols[starts[number] : end], rules, row["vocabulary"])
+    return expand(symbols[starts[number] : end], rules, row["vocabulary"], np.frombuffer(row["lengths"], np.uint32))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -246,8 +257,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 symbols, rules = np.frombuffer(row["symbols"], np.uint32), np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
-                ids = expand(symbols, rules, row["vocabulary"]).astype("<u4")
                 lengths = np.frombuffer(row["lengths"], np.uint32)
+                ids = expand(symbols, rules, row["vocabulary"], lengths).astype("<u4")
                 starts, doc_ids = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["doc_ids"], np.int64)
                 null = np.arange(doc_ids.size) < row["nulls"]  # they come first
                 sizes = np.where(symbols >= row["vocabulary"], lengths[np.maximum(symbols.astype(np.int64) - row["vocabulary"], 0)] if lengths.size else 1, 1)
