@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +29,14 @@ CUTOFF = 18.467
 SUBSET, SETTLED, LEAST = 0.75, 1e-4, 100
 
 
-def text_stats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """The columns `carry` and counts of every whole text; see STATS. A null or empty text has none of anything."""
-    rows = docs.select(*carry, "text")
+def text_stats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source"), within: str | None = None) -> DataFrame:
+    """The columns `carry` and counts of every whole text; see STATS. A null or empty text has none of anything. within: the struct of `carry` whose field text it is."""
+    rows = docs.select(*carry, *([] if within else ["text"]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(carry)]), STATS])
 
     def run(batches):
+        if within:
+            batches = (pa.RecordBatch.from_arrays([*b.columns, pc.struct_field(b.column(within), "text")], names=[*carry, "text"]) for b in batches)
         for batch in bt.slices(batches):
             column = batch.column("text")
             data, offsets, text, h, chars = bt.words(column)
@@ -155,10 +158,34 @@ def judge_quality(docs: DataFrame, *, cutoff: float = CUTOFF, **estimates) -> Da
     they are, repeated ones too; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    named = docs.select("doc_id", *(F.coalesce(c, F.lit("<null>")).alias(c) for c in ("lang", "source")), "text")
-    stats = scratch.write(text_stats(named), "stats").withColumn("base_failed", base_failed()).withColumn("v", F.array(*vector()))
-    passed = stats.where(~F.col("base_failed")).select("doc_id", "lang", "source", "v")
-    found = robust_estimates(passed, scratch, **estimates)
+    stats = _measured(scratch.write(text_stats(docs.select("doc_id", *_group(), "text")), "stats"))
+    return _judged(stats, _estimated(stats, scratch, **estimates), cutoff).select(
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def keep_good(docs: DataFrame, *, cutoff: float = CUTOFF, **estimates) -> DataFrame:
+    """The rows of docs, with all their columns, that judge_quality keeps. Each row is judged by itself: ids may be null or repeated. Texts are read twice and not shuffled."""
+    scratch = Scratch(docs.sparkSession)
+    stats = _measured(scratch.write(text_stats(docs.select("doc_id", *_group(), "text")), "stats"))
+    found = _estimated(stats, scratch, **estimates)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_group(), F.xxhash64("text").alias("doc_id"))  # the id only spreads large groups
+    return _judged(_measured(text_stats(rows, ("row", "lang", "source", "doc_id"), "row")), found, cutoff).where("kept").select("row.*")
+
+
+def _group() -> list[Column]:
+    return [F.coalesce(c, F.lit("<null>")).alias(c) for c in ("lang", "source")]
+
+
+def _measured(stats: DataFrame) -> DataFrame:
+    return stats.withColumn("base_failed", base_failed()).withColumn("v", F.array(*vector()))
+
+
+def _estimated(stats: DataFrame, scratch: Scratch, **estimates) -> DataFrame:
+    return robust_estimates(stats.where(~F.col("base_failed")).select("doc_id", "lang", "source", "v"), scratch, **estimates)
+
+
+def _judged(stats: DataFrame, found: DataFrame, cutoff: float) -> DataFrame:
+    """stats with distance and kept."""
     n_groups = found.count()
     own = found.where("level = 0").select("lang", "source", F.struct("mean", "inverse").alias("own"))
     by_lang = found.where("level = 1").select("lang", F.struct("mean", "inverse").alias("by_lang"))
@@ -169,6 +196,4 @@ def judge_quality(docs: DataFrame, *, cutoff: float = CUTOFF, **estimates) -> Da
     chosen = F.coalesce("own", "by_lang", of_all)
     rows = rows.withColumns({"mean": chosen["mean"], "inverse": chosen["inverse"]})
     far = F.when(~F.col("base_failed"), _distance())
-    return rows.withColumn("distance", far).select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
+    return rows.withColumn("distance", far).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
