@@ -6,39 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import mixing, pieces
-from tidelog.llm.common import Scratch, table
+from tidelog.llm.common import Scratch, ascii_lower, table
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.near_dedup import near_dedup
-from tidelog.llm.quality import judge_quality
+from tidelog.llm.quality import keep_good
 from tidelog.llm.queries import tokenizer_path
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose doc_id is kept. A row without doc_id cannot be matched to a verdict, and goes."""
-    return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi")
+def _row(docs: DataFrame):
+    """All columns of a row as one, so that no name of theirs meets those of a stage."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _kept(docs, judge_quality(docs))
+    """Documents that the quality rules reject go, row by row."""
+    return keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return _kept(docs, exact_dedup(docs, keep="max"))
+    """Of equal texts the one with the largest doc_id stays (one without doc_id only where no other has one), once if the row is repeated."""
+    key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha).alias("key")
+    stays = exact_dedup(docs, keep="max").where("kept").select(key(F.col("text_sha256"))).distinct()
+    rows = docs.select(_row(docs), key(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
+    return rows.join(stays, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; five words a shingle, similarity 0.8."""
-    return _kept(docs, near_dedup(docs))
+    """One document of each group stays, that with the smallest doc_id; five words a shingle, similarity 0.8. Rows without doc_id are compared with none, and stay."""
+    stays = near_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document has as many rows as the mixture shows it; every document has one at least."""
     shown = mixing.mix_sources(docs, split=True).groupBy("doc_id").agg(F.max("epoch").alias("epochs"))
     more = shown.where("epochs > 1")  # with nothing to repeat, rows stay as they are
-    rows = docs.join(more, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("epochs", F.lit(1)))))
-    return rows.select(*docs.columns)
+    rows = docs.select("doc_id", _row(docs)).join(more, "doc_id", "left")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.coalesce("epochs", F.lit(1)))).alias("copy")).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ STAGES = [
     ("piece_encoding", encoded),
 ]
 
-#: Robust estimates, MinHash components and Viterbi paths are nothing that SQL can express.
+#: Robust estimates, MinHash components and merges by rank are nothing that SQL can express.
 ORACLE_SQL = None
 
 
