@@ -88,27 +88,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is computed once however often body has it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
-
-def running(values: Column, combine: Callable[[Column, Column], Column], chunk: int = 64) -> Column:
-    """The array of running combinations of values: v0, v0+v1, ... for +. combine is associative.
-
-    Arrays are copied when they grow by an element, so chunks are run through by themselves, then the chunks' last values, then chunks of chunks: the
-    copies stay near `chunk` a value however long the array is.
-    """
-    def within(part: Column) -> Column:
-        return let(part, lambda xs: F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, 1), lambda acc, x: F.array_append(acc, combine(F.element_at(acc, -1), x))))
-
-    def chunked(xs: Column, of_lasts: Callable[[Column], Column]) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / chunk).cast("int")), lambda c: within(F.slice(xs, c * chunk + 1, chunk)))
-
-        def joined(parts: Column, before: Column) -> Column:
-            """The parts' values after those that come before each."""
-            return F.flatten(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(let(F.get(before, k - 1), lambda b: F.transform(part, lambda x: combine(b, x))))))
-
-        return let(parts, lambda parts: let(of_lasts(F.transform(parts, lambda part: F.element_at(part, -1))), lambda before: joined(parts, before)))
-
-    def over(xs: Column) -> Column:
-        return F.when(F.size(xs) <= 1, xs).when(F.size(xs) <= chunk, within(xs)).otherwise(
-            chunked(xs, lambda ys: let(ys, lambda y: F.when(F.size(y) <= chunk, within(y)).otherwise(chunked(y, within)))))
-
-    return let(values, over)

@@ -1,7 +1,7 @@
 """Secret scans: rule spans, and spans of high sliding-window entropy (DataFrame functions only).
 
 Spark's functions give the texts of all matches but not where they are; splitting the text by the same pattern gives what lies between
-them, and running sums over the lengths of both give every span. Work grows in proportion to a text and its matches.
+them, and running sums over the lengths of both give every span. Each span is looked at once; only references to spans are copied as their array grows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import let, running
+from tidelog.llm.common import let
 
 # The rules' patterns, in the order in which kinds at the same start are listed.
 ASSIGN = (
@@ -34,15 +34,18 @@ SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"  # in this order
 
 def _spans(kind: str, between: Column, found: Column, keep: Column | None = None) -> Column:
     """The spans (see SPANS) of matches, from the pieces between them and the matches themselves; of those that `keep` (an array beside them) holds for."""
-    lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.char_length(b) + F.char_length(m))
+    if keep is None:
+        keep = F.transform(found, lambda _: F.lit(True))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("m"), keep.alias("k"))
 
-    def spans(ends: Column, found: Column) -> Column:
-        at = lambda m, k: let(F.get(ends, k), lambda end: F.struct(
-            (end - F.char_length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), m.alias("text")))
-        return F.transform(found, at)
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["b"])
+        end = start + F.char_length(x["m"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["m"].alias("text"))
+        return F.struct(end.alias("at"), F.when(x["k"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    every = let(found, lambda m: let(running(lengths, lambda a, b: a + b), lambda ends: spans(ends, m)))
-    return every if keep is None else let(keep, lambda k: F.filter(every, lambda _, i: F.get(k, i)))
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
 def rule_spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
@@ -64,23 +67,24 @@ def peak_entropy(s: Column, window: int = WINDOW) -> Column:
     Counts are kept per distinct character and change by one for the character that enters and the one that leaves, and with
     them the sum of n*log2(n); no window is counted anew.
     """
-    chars = F.split(s, "")
-    alphabet = F.array_distinct(chars)
-    at = lambda i: F.array_position(alphabet, F.get(chars, i)).cast("int") - 1
-    zero = F.struct(
-        F.transform(alphabet, lambda _: F.lit(0)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    def best(codes: Column, size: Column) -> Column:
+        """codes: each character's place in the alphabet of `size`."""
+        zero = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        into, out = at(i), F.when(i >= window, at(i - window)).otherwise(F.lit(-1))
-        counts = F.transform(acc["n"], lambda n, j: n + F.when(j == into, 1).otherwise(0) - F.when(j == out, 1).otherwise(0))
-        a, b = F.get(acc["n"], into), F.when(out >= 0, F.get(acc["n"], out)).otherwise(F.lit(0))
-        change = F.when(into == out, F.lit(0.0)).otherwise(
-            _plogp(a + 1) - _plogp(a) + F.when(out >= 0, _plogp(b - 1) - _plogp(b)).otherwise(F.lit(0.0)))
-        total = acc["sum"] + change
-        entropy = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
+        def step(acc: Column, i: Column) -> Column:
+            into, out = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
+            counts = F.transform(acc["n"], lambda n, j: n + F.when(j == into, 1).otherwise(0) - F.when(j == out, 1).otherwise(0))
+            a, b = F.get(acc["n"], into), F.when(out >= 0, F.get(acc["n"], out)).otherwise(F.lit(0))
+            change = F.when(into == out, F.lit(0.0)).otherwise(
+                _plogp(a + 1) - _plogp(a) + F.when(out >= 0, _plogp(b - 1) - _plogp(b)).otherwise(F.lit(0.0)))
+            total = acc["sum"] + change
+            entropy = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
+            return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.char_length(s) - 1), zero, step, lambda acc: acc["best"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["best"])
+
+    of = lambda chars, alphabet: let(F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int") - 1), lambda codes: best(codes, F.size(alphabet)))
+    return let(F.split(s, ""), lambda chars: let(F.array_distinct(chars), lambda alphabet: of(chars, alphabet)))
 
 
 def entropy_spans(text: Column, window: int = WINDOW, thresholds: dict = THRESHOLDS, allowed: tuple = ALLOWED) -> Column:
@@ -111,10 +115,16 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         entropy_spans(t).alias("entropy"),
     )
     both = rules.select("doc_id", F.sort_array(F.concat("rules", "entropy")).alias("spans"))
-    # a span lies within a rule's if one that begins no later ends no earlier
-    of_rules = F.transform("spans", lambda x: F.when(x["kind"] < KINDS.index("entropy"), x["end"]).otherwise(F.lit(-1)))
-    new = let(running(of_rules, F.greatest), lambda upto: F.filter("spans", lambda x, k: (x["kind"] < KINDS.index("entropy")) | (F.get(upto, k) < x["end"])))
-    return both.select("doc_id", F.when(F.size("spans") > 0, new).otherwise(F.col("spans")).alias("spans"))
+    zero = F.struct(F.lit(-1).alias("upto"), F.array().cast(SPANS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # an entropy span lies within a rule's if one that begins no later ends no earlier
+        rule = x["kind"] < KINDS.index("entropy")
+        return F.struct(
+            F.when(rule, F.greatest(acc["upto"], x["end"])).otherwise(acc["upto"]).alias("upto"),
+            F.when(rule | (acc["upto"] < x["end"]), F.array_append(acc["out"], x)).otherwise(acc["out"]).alias("out"))
+
+    return both.select("doc_id", F.aggregate("spans", zero, step, lambda acc: acc["out"]).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
